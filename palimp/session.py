@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -24,3 +28,17 @@ def get_session(cores: str = "*", app: str = "palimp", **conf: str) -> SparkSess
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, once for each Spark context, for where it isn't installed on them."""
+    sc = spark.sparkContext
+    if getattr(sc, "_palimp_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="palimp-code-")) / "palimp.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, Path(root.name) / p.relative_to(root))
+    sc.addPyFile(str(path))
+    sc._palimp_shipped = True
