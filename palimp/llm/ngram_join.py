@@ -5,8 +5,9 @@ Rows of the matrix are classes of documents with equal n-gram sets. The product
 * Size-derived bounds. If two sets reach the threshold p/100, their sizes differ by a factor of at most 100/p, and they differ in at most
   e = 2*hi*(100-p)/(100+p) n-grams, hi the upper size of the level of the larger set. The hash space is cut into k > e ranges, so at least one range
   holds the same n-grams in both. A row therefore emits one signature per range (of its own level, and of the next ones that a partner may have); rows that
-  share none can't be linked. A passage that many documents share fills no whole range, so it makes no candidates, and no order of
-  frequencies is needed. Ranges that are empty count too: k has a slack of s ranges, and a row with more than s empty ranges emits those as well.
+  share none can't be linked. k has a slack of s ranges: s + 1 ranges at least are the same in both, so each row leaves out those of its ranges that have
+  fewest n-grams, s at most (no more than those below some number of n-grams, which keeps a common range in both). What is left are ranges of several n-grams each, so a passage that many
+  documents share makes hardly any candidates, and no order of frequencies is needed.
 * Rows that share signatures, directly or over others, form a candidate group; groups are cut into blocks of bounded size in the order of set size, and
   pairs of blocks whose sizes are too far apart are discarded.
 * In each pair of blocks the product of the two incidence blocks accumulates overlap counts: by a dense product over n-grams of many rows, by
@@ -29,10 +30,10 @@ from .shared import written
 from .textkernel import U, as_long, chunks, mix, shingle_hashes, tokenize
 
 #: n-grams (each row counts ROW more) of a block of rows.
-BLOCK, ROW = 500_000, 500
+BLOCK, ROW = 1_000_000, 500
 _LEVELS = [6]
 while _LEVELS[-1] < 1 << 40:
-    _LEVELS.append(_LEVELS[-1] * 3 // 2)
+    _LEVELS.append(_LEVELS[-1] * 6 // 5 + 1)
 
 
 def _level(n: int) -> int:
@@ -54,8 +55,11 @@ def signatures(h: np.ndarray, percent: int) -> list[np.ndarray]:
         k, slack = ranges(level, percent)
         bucket = ((h >> U(40)) * U(k)) >> U(24)
         first = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1]
-        total, at = np.add.reduceat(m, first), bucket[first]
-        if k - len(at) > slack:
+        total, at, size = np.add.reduceat(m, first), bucket[first], np.diff(np.r_[first, n])
+        least = 0 if k - len(at) > slack else np.partition(size, slack - k + len(at))[slack - k + len(at)]
+        if least:
+            total, at = total[size >= least], at[size >= least]
+        else:
             empty = np.setdiff1d(np.arange(k, dtype=U), at)
             total, at = np.r_[total, np.zeros(len(empty), U)], np.r_[at, empty]
         salt = U((level + 1) * 0x9FB21C651E98DF25 & 0xFFFFFFFFFFFFFFFF)
@@ -124,7 +128,7 @@ def _incidence(words: int):
             for part, sets, cls in _sets(batch, words):
                 same = cls.view(np.int64) == part.column(part.schema.get_field_index("cls")).to_numpy()
                 rows = pa.array([x.tobytes() for x in sets], pa.binary())
-                keep = pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in ("root", "blk", "cls", "copies")] + [rows], names=["root", "blk", "cls", "copies", "grams"])
+                keep = pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in ("root", "blk", "cls", "copies", "tasks")] + [rows], names=["root", "blk", "cls", "copies", "tasks", "grams"])
                 yield keep.filter(pa.array(same))
 
     return run
@@ -215,9 +219,12 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     blocks = members.groupBy("root", "blk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     one, two = blocks.select("root", F.col("blk").alias("b1"), F.col("hi").alias("hi1")), blocks.select("root", F.col("blk").alias("b2"), F.col("lo").alias("lo2"))
     pairs = one.join(two, "root").where("b1 <= b2").where(F.col("hi1") * 100 >= F.col("lo2") * percent).select("root", "b1", "b2", F.explode(F.array_distinct(F.array("b1", "b2"))).alias("blk"))
-    fetched = base.join(members, base["doc_id"].eqNullSafe(members["rep"]) & (base["crc"] == members["crc"])).select("text", "root", "blk", "cls", "copies")
-    rows = fetched.mapInArrow(_incidence(words), "root long, blk long, cls long, copies long, grams binary")
-    found = rows.join(pairs, ["root", "blk"]).groupBy("root", "b1", "b2").applyInArrow(_block(percent), "cls long, hub long, links long")
+    tasks = pairs.groupBy("root", "blk").agg(F.collect_list(F.struct("b1", "b2")).alias("tasks"))  # a number for each block of the group
+    wanted = members.join(tasks, ["root", "blk"])
+    fetched = base.join(wanted, base["doc_id"].eqNullSafe(wanted["rep"]) & (base["crc"] == wanted["crc"])).select("text", "root", "blk", "cls", "copies", "tasks")
+    rows = fetched.mapInArrow(_incidence(words), "root long, blk long, cls long, copies long, tasks array<struct<b1:long,b2:long>>, grams binary")
+    rows = rows.select("root", "blk", "cls", "copies", "grams", F.explode("tasks").alias("t")).select("root", "t.b1", "t.b2", "blk", "cls", "copies", "grams")
+    found = rows.groupBy("root", "b1", "b2").applyInArrow(_block(percent), "cls long, hub long, links long")
     found = written(found, "found")
 
     linked = connected_components(found, "cls", "hub").withColumnRenamed("node", "cls")
