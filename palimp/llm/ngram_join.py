@@ -3,11 +3,10 @@
 Rows of the matrix are classes of documents with equal n-gram sets. The product is only formed inside blocks of rows that can hold a link:
 
 * Size-derived bounds. If two sets reach the threshold p/100, their sizes differ by a factor of at most 100/p, and they differ in at most
-  e = 2*hi*(100-p)/(100+p) n-grams, hi the upper size of the level of the larger set. The hash space is cut into k > e ranges, so at least one range
-  holds the same n-grams in both. A row therefore emits one signature per range (of its own level, and of the next ones that a partner may have); rows that
-  share none can't be linked. k has a slack of s ranges: s + 1 ranges at least are the same in both, so each row leaves out those of its ranges that have
-  fewest n-grams, s at most (no more than those below some number of n-grams, which keeps a common range in both). What is left are ranges of several n-grams each, so a passage that many
-  documents share makes hardly any candidates, and no order of frequencies is needed.
+  e = 2*hi*(100-p)/(100+p) n-grams, hi the upper size of the level of the larger set. The hash space is cut into k = e + 1 + s ranges, so s + 1 ranges at least
+  hold the same n-grams in both. A row emits a signature of each range at its own level, and at the next ones that a larger partner may have; it leaves out
+  its s poorest ranges at most: those with a weight below some number, which keeps a common range in both. The weight counts n-grams that aren't common first, then all. So passages that
+  many documents share make hardly any candidates. Rows that share no signature at the own level of one of them can't be linked.
 * Rows that share signatures, directly or over others, form a candidate group; groups are cut into blocks of bounded size in the order of set size, and
   pairs of blocks whose sizes are too far apart are discarded.
 * In each pair of blocks the product of the two incidence blocks accumulates overlap counts: by a dense product over n-grams of many rows, by
@@ -31,6 +30,8 @@ from .textkernel import U, as_long, chunks, mix, shingle_hashes, tokenize
 
 #: n-grams (each row counts ROW more) of a block of rows.
 BLOCK, ROW = 1_000_000, 500
+#: n-grams of a stretch in which common ones are looked for, the share of its texts that makes one common, and common ones at most.
+HELD, COMMON, KNOWN = 4_000_000, 0.001, 1_000_000
 _LEVELS = [6]
 while _LEVELS[-1] < 1 << 40:
     _LEVELS.append(_LEVELS[-1] * 6 // 5 + 1)
@@ -43,22 +44,26 @@ def _level(n: int) -> int:
 def ranges(level: int, percent: int) -> tuple[int, int]:
     """k and slack s of a level: two linked sets differ in at most k - s - 1 ranges."""
     e = 2 * _LEVELS[level] * (100 - percent) // (100 + percent)
-    s = 2 + e // 8
+    s = 2 + e * 2 // 5
     return e + 1 + s, s
 
 
-def signatures(h: np.ndarray, percent: int) -> list[np.ndarray]:
-    """The signatures of a sorted set of hashes."""
+def signatures(h: np.ndarray, percent: int, common: np.ndarray) -> list[np.ndarray]:
+    """The signatures of a sorted set of hashes, of its own level first; common: sorted hashes of common n-grams."""
     out, n = [], len(h)
     m = mix(h + U(0x5851F42D4C957F2D))
+    rare = np.ones(n, np.int64)
+    if len(common):
+        rare = (common[np.minimum(np.searchsorted(common, h), len(common) - 1)] != h).astype(np.int64)
     for level in range(_level(n), _level(n * 100 // percent) + 1):
         k, slack = ranges(level, percent)
         bucket = ((h >> U(40)) * U(k)) >> U(24)
         first = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1]
-        total, at, size = np.add.reduceat(m, first), bucket[first], np.diff(np.r_[first, n])
-        least = 0 if k - len(at) > slack else np.partition(size, slack - k + len(at))[slack - k + len(at)]
+        total, at = np.add.reduceat(m, first), bucket[first]
+        weight = np.add.reduceat(rare, first) * 64 + np.minimum(np.diff(np.r_[first, n]), 63)
+        least = 0 if k - len(at) > slack else np.partition(weight, slack - k + len(at))[slack - k + len(at)]
         if least:
-            total, at = total[size >= least], at[size >= least]
+            total, at = total[weight >= least], at[weight >= least]
         else:
             empty = np.setdiff1d(np.arange(k, dtype=U), at)
             total, at = np.r_[total, np.zeros(len(empty), U)], np.r_[at, empty]
@@ -95,27 +100,70 @@ def _fingerprints(words: int):
     return run
 
 
-def _signatures(words: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # copies in the same partition emit once; bounded, and only saves rows
-        for batch in batches:
-            sig, cls = [], []
-            size = 0
-            for _, sets, classes in _sets(batch, words):
-                for h, c in zip(sets, classes.tolist(), strict=True):
-                    if not len(h) or c in seen:
-                        continue
+def _fresh(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[np.ndarray, int]]:
+    """Sets and classes, copies in the same partition once (as far as a bounded memory goes; it only saves rows)."""
+    seen: set[int] = set()
+    for batch in batches:
+        for _, sets, classes in _sets(batch, words):
+            for h, c in zip(sets, classes.tolist(), strict=True):
+                if len(h) and c not in seen:
                     if len(seen) < 1_000_000:
                         seen.add(c)
-                    for s in signatures(h, percent):
-                        sig.append(s)
-                        cls.append(np.full(len(s), c, U))
-                        size += len(s)
-                if size > 500_000:
-                    yield pa.RecordBatch.from_arrays([as_long(np.concatenate(sig)), as_long(np.concatenate(cls))], names=["sig", "cls"])
-                    sig, cls, size = [], [], 0
-            if size:
-                yield pa.RecordBatch.from_arrays([as_long(np.concatenate(sig)), as_long(np.concatenate(cls))], names=["sig", "cls"])
+                    yield h, c
+
+
+def _common(words: int):
+    """n-grams that several texts of a stretch of HELD n-grams share, with their numbers there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            some = n >= max(8, COMMON * len(held))
+            return pa.RecordBatch.from_arrays([as_long(h[some]), pa.array(n[some])], names=["gram", "n"])
+
+        for h, _ in _fresh(batches, words):
+            held.append(h)
+            size += len(h)
+            if size >= HELD:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
+
+    return run
+
+
+def common_ngrams(texts: DataFrame, words: int) -> np.ndarray:
+    """Hashes of common n-grams, KNOWN at most (the most common ones). Which they are changes the work, never the result."""
+    found = written(texts.mapInArrow(_common(words), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "common")
+    least = 0
+    while found.where(F.col("n") >= least).count() > KNOWN:
+        least = max(16, 2 * least)
+    return np.sort(found.where(F.col("n") >= least).select("gram").toArrow().column(0).to_numpy().astype(np.int64).view(U))
+
+
+def _signatures(words: int, percent: int, common):
+    """sig, cls, far (0 if the level is the row's own) of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sig, cls, far, size = [], [], [], 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([as_long(np.concatenate(sig)), as_long(np.concatenate(cls)), pa.array(np.concatenate(far))], names=["sig", "cls", "far"])
+
+        for h, c in _fresh(batches, words):
+            for i, s in enumerate(signatures(h, percent, common.value)):
+                sig.append(s)
+                cls.append(np.full(len(s), c, U))
+                far.append(np.full(len(s), min(i, 1), np.int8))
+                size += len(s)
+            if size > 500_000:
+                yield out()
+                sig, cls, far, size = [], [], [], 0
+        if size:
+            yield out()
 
     return run
 
@@ -208,9 +256,10 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     classes = sets.where("cls is not null").groupBy("cls").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "crc"))).alias("known"), F.min("crc").alias("some"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"))
     classes = written(classes.select("cls", F.col("known.doc_id").alias("rep"), F.coalesce("known.crc", "some").alias("crc"), "copies", "n"), "classes")
 
-    posts = base.select("text").mapInArrow(_signatures(words, percent), "sig long, cls long")
-    earlier = Window.partitionBy("sig").orderBy("cls").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    near = posts.select("cls", F.first("cls").over(earlier).alias("hub")).where("cls != hub").groupBy("cls", "hub").agg(F.lit(1).alias("one"))
+    common = docs.sparkSession.sparkContext.broadcast(common_ngrams(base.select("text"), words))
+    posts = base.select("text").mapInArrow(_signatures(words, percent, common), "sig long, cls long, far tinyint")
+    earlier = Window.partitionBy("sig").orderBy("far", "cls").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = posts.select("cls", F.first("cls").over(earlier).alias("hub"), F.first("far").over(earlier).alias("far")).where("far = 0 and cls != hub").groupBy("cls", "hub").agg(F.lit(1).alias("one"))
     groups = connected_components(near, "cls", "hub")
 
     running = Window.partitionBy("root").orderBy("n", "cls").rowsBetween(Window.unboundedPreceding, Window.currentRow)
