@@ -6,11 +6,14 @@ import re
 from bisect import bisect_left
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WORD = re.compile(r"\w+|\s+|[^\w\s]")
+#: Size of the largest table that is kept, 32 MB.
+TABLE_BITS = 1 << 28
 
 
 def longest_increasing(seq: list[int]) -> list[int]:
@@ -33,8 +36,49 @@ def longest_increasing(seq: list[int]) -> list[int]:
     return out[::-1]
 
 
-def shortest_matches(a: list, b: list) -> list[tuple[int, int]]:
-    """Matched positions of a shortest edit script, by furthest-reaching paths; only touched diagonals are kept of each step."""
+def _rows(a: list, b: list, keep: bool) -> list[int]:
+    """Rows of the table of common lengths, one number each: bit j is 0 where the length grows at b[j]. All of them, or the last alone."""
+    where: dict = {}
+    for j, y in enumerate(b):
+        where[y] = where.get(y, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row, rows = full, []
+    for x in a:
+        hit = row & where.get(x, 0)
+        row = ((row + hit) | (row - hit)) & full
+        if keep:
+            rows.append(row)
+    return rows if keep else [row]
+
+
+def _lengths(a: list, b: list) -> np.ndarray:
+    """Common lengths of a with each beginning of b."""
+    bits = np.unpackbits(np.frombuffer(_rows(a, b, False)[0].to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.r_[0, np.cumsum(bits == 0)]
+
+
+def _matches(a: list, b: list, bits: int) -> list[tuple[int, int]]:
+    if not a or not b:
+        return []
+    if len(a) > 1 and len(a) * len(b) > bits:
+        half = len(a) // 2
+        cut = int(np.argmax(_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]))
+        return _matches(a[:half], b[:cut], bits) + [(half + i, cut + j) for i, j in _matches(a[half:], b[cut:], bits)]
+    rows = _rows(a, b, True)
+    i, j, out = len(a), len(b), []
+    while i and j:
+        if rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+        elif i > 1 and not rows[i - 2] >> (j - 1) & 1:
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
+
+
+def shortest_matches(a: list, b: list, bits: int = TABLE_BITS) -> list[tuple[int, int]]:
+    """Matched positions of a shortest edit script: a longest common subsequence from a table of bits. Tables of more than `bits` are halved first, so memory stays bounded."""
     n, m = len(a), len(b)
     lo = 0
     while lo < n and lo < m and a[lo] == b[lo]:
@@ -42,52 +86,12 @@ def shortest_matches(a: list, b: list) -> list[tuple[int, int]]:
     hi = 0
     while hi < n - lo and hi < m - lo and a[n - 1 - hi] == b[m - 1 - hi]:
         hi += 1
-    head = [(i, i) for i in range(lo)]
-    tail = [(n - hi + i, m - hi + i) for i in range(hi)]
     x, y = a[lo : n - hi], b[lo : m - hi]
-    if not x or not y or not set(x) & set(y):
-        return head + tail
-    reach, steps = {1: 0}, []
-    for d in range(len(x) + len(y) + 1):
-        new = {}
-        for k in range(-d, d + 1, 2):
-            i = reach[k + 1] if k == -d or (k != d and reach.get(k - 1, -1) < reach.get(k + 1, -1)) else reach[k - 1] + 1
-            j = i - k
-            if i > len(x) or j > len(y):
-                new[k] = i
-                continue
-            while i < len(x) and j < len(y) and x[i] == y[j]:
-                i, j = i + 1, j + 1
-            new[k] = i
-            if i >= len(x) and j >= len(y):
-                steps.append(reach)
-                return head + [(lo + p, lo + q) for p, q in _walk(steps, len(x), len(y), d)] + tail
-        steps.append(reach)
-        reach = new
-    return head + tail
-
-
-def _walk(steps: list[dict], i: int, j: int, d: int) -> list[tuple[int, int]]:
-    out = []
-    while d >= 0:
-        reach, k = steps[d], i - j
-        if d == 0:
-            pi, pj = 0, 0
-            while i > pi and j > pj:
-                i, j = i - 1, j - 1
-                out.append((i, j))
-            break
-        down = k == -d or (k != d and reach.get(k - 1, -1) < reach.get(k + 1, -1))
-        pk = k + 1 if down else k - 1
-        pi = reach[pk]
-        pj = pi - pk
-        si = pi if down else pi + 1
-        sj = pj + 1 if down else pj
-        while i > si and j > sj:
-            i, j = i - 1, j - 1
-            out.append((i, j))
-        i, j, d = pi, pj, d - 1
-    return out[::-1]
+    # elements of one side only can't match
+    common = set(x) & set(y)
+    p, q = ([i for i, v in enumerate(s) if v in common] for s in (x, y))
+    inner = [(lo + p[i], lo + q[j]) for i, j in _matches([x[i] for i in p], [y[j] for j in q], bits)]
+    return [(i, i) for i in range(lo)] + inner + [(n - hi + i, m - hi + i) for i in range(hi)]
 
 
 def anchors_of(a: list, b: list) -> list[tuple[int, int]]:
