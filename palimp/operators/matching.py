@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimp.config import DEFAULT, Options
 from palimp.functions.signature import line_signature, signature_similarity
@@ -26,25 +27,27 @@ def candidates(blocks: DataFrame, options: Options = DEFAULT) -> DataFrame:
     return cheap.unionByName(x.where(~equal & ~far).withColumn("sim", word_similarity("removed_line", "added_line")))
 
 
-def _greedy(t: pa.Table) -> pa.Table:
-    used_a, used_b, keep = set(), set(), []
-    for i, (a, b) in enumerate(zip(t.column("old_no").to_pylist(), t.column("new_no").to_pylist(), strict=True)):
-        if a not in used_a and b not in used_b:
-            used_a.add(a)
-            used_b.add(b)
-            keep.append(i)
-    return t.take(pa.array(keep, pa.int64()))
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _greedy(old: pa.Array, new: pa.Array) -> pa.Array:
+    """Indices of the pairs whose lines are both free, in the order given."""
+    out = []
+    for a, b in zip(old.to_pylist(), new.to_pylist(), strict=True):
+        used_a, used_b, keep = set(), set(), []
+        for i, (x, y) in enumerate(zip(a, b, strict=True)):
+            if x not in used_a and y not in used_b:
+                used_a.add(x)
+                used_b.add(y)
+                keep.append(i)
+        out.append(keep)
+    return pa.array(out, pa.list_(pa.int32()))
 
 
 def greedy_pairs(scored: DataFrame, threshold: float, keys: tuple[str, ...] = ("pair_id", "block_id")) -> DataFrame:
-    """One-to-one pairs, highest similarity first, ties by old_no, then new_no. scored: keys, old_no, new_no, sim."""
-    cols = [*keys, "old_no", "new_no", "sim"]
-    x = scored.where(F.col("sim") >= threshold).select(*cols)
-
-    def run(t: pa.Table) -> pa.Table:
-        return _greedy(t.sort_by([("sim", "descending"), ("old_no", "ascending"), ("new_no", "ascending")]))
-
-    return x.groupBy(*keys).applyInArrow(run, x.schema)
+    """One-to-one pairs, highest similarity first, ties by old_no, then new_no. scored: keys, old_no, new_no, sim. A group has max_pairs rows at most, as larger pairs take the degraded plan."""
+    sorted_ = F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("far"), "old_no", "new_no")))
+    x = scored.where(F.col("sim") >= threshold).groupBy(*keys).agg(sorted_.alias("p"))
+    x = x.select(*keys, "p", F.explode(_greedy("p.old_no", "p.new_no")).alias("i"))
+    return x.select(*keys, F.expr("p[i].old_no").alias("old_no"), F.expr("p[i].new_no").alias("new_no"), F.expr("-p[i].far").alias("sim"))
 
 
 def mutual_best(scored: DataFrame, threshold: float, keys: tuple[str, ...] = ("pair_id", "block_id")) -> DataFrame:
@@ -88,19 +91,23 @@ def similar_moves(rest: DataFrame, threshold: float, other_block: bool = False)
     return greedy_pairs(j, threshold, ("pair_id",))
 
 
-def _take_blocks(most_rows: int, most: int):
-    def run(t: pa.Table) -> pa.Table:
-        used_a, used_b, keep = set(), set(), []
-        a, b, n = (t.column(c).to_pylist() for c in ("start_old", "start_new", "size"))
-        for i in sorted(range(len(a)), key=lambda i: (-n[i], a[i], b[i])):
-            x, y = range(a[i], a[i] + n[i]), range(b[i], b[i] + n[i])
-            if len(keep) < most and not used_a.intersection(x) and not used_b.intersection(y):
-                used_a.update(x)
-                used_b.update(y)
-                keep.append(i)
-        return t.take(pa.array(keep, pa.int64()))
+def _take_blocks(most: int):
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def take(old: pa.Array, new: pa.Array, size: pa.Array) -> pa.Array:
+        """Indices of the blocks, in the order given, that overlap no earlier one."""
+        out = []
+        for a, b, n in zip(old.to_pylist(), new.to_pylist(), size.to_pylist(), strict=True):
+            used_a, used_b, keep = set(), set(), []
+            for i in range(len(a)):
+                x, y = range(a[i], a[i] + n[i]), range(b[i], b[i] + n[i])
+                if len(keep) < most and not used_a.intersection(x) and not used_b.intersection(y):
+                    used_a.update(x)
+                    used_b.update(y)
+                    keep.append(i)
+            out.append(keep)
+        return pa.array(out, pa.list_(pa.int32()))
 
-    return run
+    return take
 
 
 def block_moves(rest: DataFrame, options: Options = DEFAULT) -> DataFrame:
@@ -112,4 +119,6 @@ def block_moves(rest: DataFrame, options: Options = DEFAULT) -> DataFrame:
     runs = diagonal_runs(old, new)
     cut = F.transform(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / options.max_block)), lambda k: F.struct((F.col("start_old") + k * options.max_block).alias("start_old"), (F.col("start_new") + k * options.max_block).alias("start_new"), F.least(F.lit(options.max_block), F.col("size") - k * options.max_block).alias("size")))
     runs = runs.select("pair_id", F.explode(cut).alias("r")).select("pair_id", F.col("r.start_old").cast("long").alias("start_old"), F.col("r.start_new").cast("long").alias("start_new"), F.col("r.size").cast("long").alias("size"))
-    return runs.groupBy("pair_id").applyInArrow(_take_blocks(options.max_block, options.max_blocks), runs.schema)
+    x = runs.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("rank"), "start_old", "start_new", "size"))).alias("r"))
+    x = x.select("pair_id", "r", F.explode(_take_blocks(options.max_blocks)("r.start_old", "r.start_new", "r.size")).alias("i"))
+    return x.select("pair_id", *(F.expr(f"r[i].{c}").alias(c) for c in ("start_old", "start_new", "size")))
