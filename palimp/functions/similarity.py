@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .edit import word_similarity_of
-from .text import lines_of, normal_form, trimmed
+from .text import bound, lines_of, normal_form, trimmed
 
 #: Keywords that the quick measure looks for, and its weights.
 QUICK_KEYWORDS = ("function", "const", "let", "var", "if", "else", "for", "while", "return", "import", "export", "class", "async", "await")
@@ -20,35 +20,53 @@ def _bag(c: Column) -> Column:
     return F.filter(F.split(c, r"\s+"), lambda w: w != "")
 
 
+def _both(a: Column, b: Column, f) -> Column:
+    """f of a struct of both normal forms and their words, computed once; null if one is null."""
+    forms = F.struct(normal_form(a).alias("x"), normal_form(b).alias("y"))
+    words = lambda t: F.struct(t["x"].alias("x"), t["y"].alias("y"), _bag(t["x"]).alias("wx"), _bag(t["y"]).alias("wy"))
+    return F.when(a.isNotNull() & b.isNotNull(), bound(forms, lambda t: bound(words(t), f)))
+
+
 def fast_line_similarity(a: Column, b: Column) -> Column:
     """Equal normal forms 1, one empty 0; below 50 characters the share of equal positions, else the words of b that a has, twice over both counts."""
-    x, y = normal_form(a), normal_form(b)
-    la, lb = F.length(x), F.length(y)
-    least = F.least(la, lb)
-    same = F.size(F.filter(F.sequence(F.lit(1), F.greatest(least, F.lit(1))), lambda i: x.substr(i, F.lit(1)) == y.substr(i, F.lit(1))))
-    wa, wb = _bag(x), _bag(y)
-    common = F.size(F.filter(wb, lambda w: F.array_contains(wa, w)))
-    score = F.when(F.greatest(la, lb) < SHORT, same / F.greatest(la, lb)).otherwise(2 * common / F.greatest(F.size(wa) + F.size(wb), F.lit(1)))
-    return F.when(x == y, 1.0).when((la == 0) | (lb == 0), 0.0).otherwise(F.least(score + EPSILON, F.lit(1.0)))
+
+    def score(t: Column) -> Column:
+        x, y = t["x"], t["y"]
+        la, lb = F.length(x), F.length(y)
+        places = F.sequence(F.lit(1), F.greatest(F.least(la, lb), F.lit(1)))
+        same = F.size(F.filter(places, lambda i: x.substr(i, F.lit(1)) == y.substr(i, F.lit(1))))
+        common = F.size(F.filter(t["wy"], lambda w: F.array_contains(t["wx"], w)))
+        value = F.when(F.greatest(la, lb) < SHORT, same / F.greatest(la, lb)).otherwise(2 * common / F.greatest(F.size(t["wx"]) + F.size(t["wy"]), F.lit(1)))
+        return F.when(x == y, 1.0).when((la == 0) | (lb == 0), 0.0).otherwise(F.least(value + EPSILON, F.lit(1.0)))
+
+    return _both(a, b, score)
 
 
 def patience_similarity(a: Column, b: Column) -> Column:
     """Equal 1, equal normal forms 0.95, else shared words."""
-    x, y = normal_form(a), normal_form(b)
-    wa, wb = _bag(x), _bag(y)
-    common = F.size(F.filter(wb, lambda w: F.array_contains(wa, w)))
-    return F.when(a == b, 1.0).when(x == y, 0.95).when((F.size(wa) == 0) | (F.size(wb) == 0), 0.0).otherwise(2 * common / (F.size(wa) + F.size(wb)))
+
+    def score(t: Column) -> Column:
+        common = F.size(F.filter(t["wy"], lambda w: F.array_contains(t["wx"], w)))
+        none = (F.size(t["wx"]) == 0) | (F.size(t["wy"]) == 0)
+        return F.when(t["x"] == t["y"], 0.95).when(none, 0.0).otherwise(2 * common / (F.size(t["wx"]) + F.size(t["wy"])))
+
+    return F.when(a == b, 1.0).otherwise(_both(a, b, score))
 
 
 def quick_token_similarity(a: Column, b: Column) -> Column:
     """Shared keywords (found as substrings), numbers of delimiters, and a base."""
-    x, y = (F.regexp_replace(normal_form(c), r"\s+", " ") for c in (a, b))
     kw = F.array(*(F.lit(k) for k in QUICK_KEYWORDS))
-    ka, kb = F.filter(kw, lambda k: F.contains(x, k)), F.filter(kw, lambda k: F.contains(y, k))
-    da, db = (F.length(F.regexp_replace(c, r"[^(){}\[\];,]", "")) for c in (x, y))
-    shared = F.when(F.size(ka) + F.size(kb) > 0, 2 * F.size(F.array_intersect(ka, kb)) / (F.size(ka) + F.size(kb))).otherwise(1.0)
-    delimiters = 1 - F.abs(da - db) / F.greatest(da, db, F.lit(1))
-    return F.when(x == y, 1.0).when((x == "") | (y == ""), 0.0).otherwise(shared * KEYWORD_WEIGHT + delimiters * DELIMITER_WEIGHT + BASE)
+    forms = F.struct(*(F.regexp_replace(normal_form(c), r"\s+", " ").alias(n) for c, n in ((a, "x"), (b, "y"))))
+
+    def score(t: Column) -> Column:
+        x, y = t["x"], t["y"]
+        ka, kb = F.filter(kw, lambda k: F.contains(x, k)), F.filter(kw, lambda k: F.contains(y, k))
+        da, db = (F.length(F.regexp_replace(c, r"[^(){}\[\];,]", "")) for c in (x, y))
+        shared = F.when(F.size(ka) + F.size(kb) > 0, 2 * F.size(F.array_intersect(ka, kb)) / (F.size(ka) + F.size(kb))).otherwise(1.0)
+        delimiters = 1 - F.abs(da - db) / F.greatest(da, db, F.lit(1))
+        return F.when(x == y, 1.0).when((x == "") | (y == ""), 0.0).otherwise(shared * KEYWORD_WEIGHT + delimiters * DELIMITER_WEIGHT + BASE)
+
+    return F.when(a.isNotNull() & b.isNotNull(), bound(forms, score))
 
 
 def jaccard(a: Column, b: Column) -> Column:

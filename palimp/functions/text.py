@@ -23,6 +23,11 @@ def normal_form(c: Column) -> Column:
     return F.lower(trimmed(c))
 
 
+def bound(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f's result uses it, also inside other functions of elements."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def lines_of(c: Column) -> Column:
     return F.split(c, "\n", -1)
 

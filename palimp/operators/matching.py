@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from palimp.config import DEFAULT, Options
 from palimp.functions.signature import line_signature, signature_similarity
-from palimp.functions.similarity import fast_line_similarity, word_similarity
+from palimp.functions.similarity import EPSILON, SHORT, fast_line_similarity, word_similarity
 from palimp.functions.text import normal_form
 
 
@@ -80,15 +80,24 @@ def _blocking_keys(c: Column) -> Column:
 
 
 def similar_moves(rest: DataFrame, threshold: float, other_block: bool = False) -> DataFrame:
-    """Similar removed and added lines anywhere in the pair, one-to-one: pair_id, old_no, new_no, sim. Only lines that share a word, or are short and of similar length, are compared."""
-    k = rest.where(F.length(normal_form(F.col("line"))) > 0).withColumn("key", F.explode(_blocking_keys(F.col("line"))))
-    a = k.where("op = '-'").select("pair_id", "key", "old_no", F.col("line").alias("x"), F.col("block_id").alias("ba"))
-    b = k.where("op = '+'").select("pair_id", "key", "new_no", F.col("line").alias("y"), F.col("block_id").alias("bb"))
-    j = a.join(b, ["pair_id", "key"])
+    """Similar removed and added lines anywhere in the pair, one-to-one: pair_id, old_no, new_no, sim. Only lines that share a word, or are short and of similar length, are compared.
+
+    Greedy pairing goes from the highest similarity down, so the pairs above a higher threshold are those that a run with that threshold would give.
+    """
+    k = rest.where(F.length(normal_form(F.col("line"))) > 0).withColumn("n", F.length(normal_form(F.col("line"))))
+    lines = k.select("pair_id", "op", "old_no", "new_no", "line")
+    k = k.withColumn("key", F.explode(_blocking_keys(F.col("line"))))
+    a = k.where("op = '-'").select("pair_id", "key", "old_no", F.col("n").alias("na"), F.col("block_id").alias("ba"))
+    b = k.where("op = '+'").select("pair_id", "key", "new_no", F.col("n").alias("nb"), F.col("block_id").alias("bb"))
+    longest = F.greatest("na", "nb")
+    # of two short lines, the share of equal positions can't exceed the ratio of their lengths
+    j = a.join(b, ["pair_id", "key"]).where((longest >= SHORT) | (F.least("na", "nb") / longest + EPSILON >= threshold))
     if other_block:
         j = j.where("ba != bb")
-    j = j.select("pair_id", "old_no", "new_no", "x", "y").distinct().withColumn("sim", fast_line_similarity(F.col("x"), F.col("y")))
-    return greedy_pairs(j, threshold, ("pair_id",))
+    j = j.select("pair_id", "old_no", "new_no").distinct()
+    j = j.join(lines.where("op = '-'").select("pair_id", "old_no", F.col("line").alias("x")), ["pair_id", "old_no"])
+    j = j.join(lines.where("op = '+'").select("pair_id", "new_no", F.col("line").alias("y")), ["pair_id", "new_no"])
+    return greedy_pairs(j.withColumn("sim", fast_line_similarity(F.col("x"), F.col("y"))), threshold, ("pair_id",))
 
 
 def _take_blocks(most: int):

@@ -59,12 +59,11 @@ def classify(edits: DataFrame, options: Options = DEFAULT) -> DataFrame:
         exact = written(exact_moves(rest).select("pair_id", F.col("from_no").alias("old_no"), F.col("to_no").alias("new_no")), "moves")
         taken.append(exact.select("pair_id", "old_no", "new_no", F.lit(1.0).alias("similarity"), F.lit("moved").alias("classification")))
         rest = written(unpaired(rest, exact), "rest")
-        alike = written(similar_moves(rest, options.move_threshold), "moves")
-        taken.append(alike.select("pair_id", "old_no", "new_no", F.col("sim").alias("similarity"), F.lit("moved").alias("classification")))
+        # moves first, then modifications across blocks: both in one greedy run
+        alike = written(similar_moves(rest, min(options.move_threshold, options.modified_threshold)), "moves")
+        kind = F.when(F.col("sim") >= options.move_threshold, "moved").otherwise("modified")
+        taken.append(alike.select("pair_id", "old_no", "new_no", F.col("sim").alias("similarity"), kind.alias("classification")))
         rest = written(unpaired(rest, alike), "rest")
-        cross = written(similar_moves(rest, options.modified_threshold), "cross")
-        taken.append(cross.select("pair_id", "old_no", "new_no", F.col("sim").alias("similarity"), F.lit("modified").alias("classification")))
-        rest = written(unpaired(rest, cross), "rest")
     both = taken[0]
     for x in taken[1:]:
         both = both.unionByName(x)
