@@ -76,3 +76,21 @@ def content_windows(old: DataFrame, new: DataFrame, k: int, least_chars: int = 1
         return t.select("pair_id", F.array_join(F.array_sort("ws"), "\n").alias("key"), F.col("line_no").alias(name))
 
     return windows(old, "start_old").join(windows(new, "start_new"), ["pair_id", "key"]).groupBy("pair_id", "start_old").agg(F.min("start_new").alias("start_new"))
+
+
+def patience_rows(old: DataFrame, new: DataFrame) -> DataFrame:
+    """pair_id, op, old_no, new_no, line: only unique common lines in increasing order are equal, all other lines are removed or added."""
+    same = increasing_anchors(unique_anchors(old, new))
+    a = old.withColumnRenamed("line_no", "old_no").join(same, ["pair_id", "old_no"], "left")
+    b = new.withColumnRenamed("line_no", "new_no").join(same.select("pair_id", "new_no"), ["pair_id", "new_no"], "left_anti")
+    a = a.select("pair_id", F.when(F.col("new_no").isNull(), "-").otherwise("=").alias("op"), "old_no", "new_no", "line")
+    return a.unionByName(b.select("pair_id", F.lit("+").alias("op"), F.lit(None).cast("int").alias("old_no"), "new_no", "line"))
+
+
+def block_signatures(lines: DataFrame, sig_col: str, k: int = 3) -> DataFrame:
+    """pair_id, line_no, signature of each window of k lines, from the lines' signatures."""
+    w = Window.partitionBy("pair_id").orderBy("line_no")
+    value = F.lit(0).cast("long")
+    for i in range(k):
+        value = (value * 31 + F.lead(sig_col, i).over(w)) % 4294967296
+    return lines.select("pair_id", "line_no", value.alias("signature")).where(F.col("signature").isNotNull())

@@ -19,7 +19,7 @@ from palimp.functions.edit import char_diff, word_diff
 from palimp.functions.regions import nested_diffs, regions
 from palimp.functions.syntax import ast_signature, ast_similarity, full_similarity
 from palimp.functions.tokens import token_lcs, token_line_similarity, tokens
-from palimp.operators import align, export, lsh, matching, sliders
+from palimp.operators import align, export, late_moves, lsh, matching, sliders
 from palimp.plans import compare as cmp
 from palimp.sources import pairs as src
 from palimp.storage import written
@@ -63,6 +63,10 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
     return src.explode_lines(_docs(spark, d), "doc_id", "text")
 
 
+def _spread_lines(spark: SparkSession, d: str) -> DataFrame:
+    return src.explode_lines(src.spread(_docs(spark, d).select("doc_id", "text")), "doc_id", "text")
+
+
 def _edited(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return src.edited_lines(_docs(spark, d))
 
@@ -87,7 +91,7 @@ def _facing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _full(spark: SparkSession, d: str) -> DataFrame:
-    return cmp.compare(src.edited_pairs(_docs(spark, d)))
+    return cmp.compare(src.edited_pairs(src.spread(_docs(spark, d).select("doc_id", "text"))))
 
 
 # sources and guards
@@ -173,7 +177,7 @@ def delimiter_validation(spark, d):
 
 @query(f"WITH {CHARS} SELECT doc_id, line_no, sig FROM sg")
 def line_signature(spark, d):
-    return _lines(spark, d).select("doc_id", "line_no", sig.line_signature(F.col("line")).alias("sig"))
+    return _spread_lines(spark, d).select("doc_id", "line_no", sig.line_signature(F.col("line")).alias("sig"))
 
 
 @query(f"WITH {CHARS}, l AS (SELECT doc_id, line_no, sig, lag(sig) OVER (PARTITION BY doc_id ORDER BY line_no) AS p FROM sg) SELECT doc_id, line_no, round(1 - bit_count(xor(sig, p)) / 32.0, 6) AS similarity FROM l WHERE p IS NOT NULL")
@@ -183,8 +187,13 @@ def signature_similarity(spark, d):
     return x.select("doc_id", "line_no", F.round(sig.signature_similarity(F.col("sig"), F.col("p")), 6).alias("similarity"))
 
 
+@query(f"WITH {CHARS}, w AS (SELECT doc_id, line_no, sig AS a, lead(sig) OVER (PARTITION BY doc_id ORDER BY line_no) AS b, lead(sig, 2) OVER (PARTITION BY doc_id ORDER BY line_no) AS c FROM sg) SELECT doc_id, line_no, (((a % 4294967296) * 31 + b) % 4294967296 * 31 + c) % 4294967296 AS signature FROM w WHERE c IS NOT NULL")
+def block_signatures(spark, d):
+    return align.block_signatures(line_signature(spark, d).withColumnRenamed("doc_id", "pair_id"), "sig").withColumnRenamed("pair_id", "doc_id")
+
+
 def _hashes(spark, d):
-    return _lines(spark, d).select("doc_id", "line_no", sig.content_hash(F.col("line")).alias("hash"))
+    return _spread_lines(spark, d).select("doc_id", "line_no", sig.content_hash(F.col("line")).alias("hash"))
 
 
 @query(f"WITH {CHARS} SELECT doc_id, line_no, hash FROM hs")
@@ -301,11 +310,13 @@ def unique_anchors(spark, d):
 _ANCHORS = f"{EDITED}, a AS (SELECT pair_id, line, min(line_no) AS old_no FROM ol GROUP BY 1, 2 HAVING count(*) = 1), b AS (SELECT pair_id, line, min(line_no) AS new_no FROM nl GROUP BY 1, 2 HAVING count(*) = 1), an AS (SELECT pair_id, old_no, new_no FROM a JOIN b USING (pair_id, line))"
 
 
-@query(f"""WITH RECURSIVE {_ANCHORS}, r AS (SELECT pair_id, new_no, row_number() OVER (PARTITION BY pair_id ORDER BY old_no) AS i FROM an), m AS (SELECT pair_id, max(i) AS n FROM r GROUP BY 1),
+_LIS = f"""WITH RECURSIVE {_ANCHORS}, r AS (SELECT pair_id, new_no, row_number() OVER (PARTITION BY pair_id ORDER BY old_no) AS i FROM an), m AS (SELECT pair_id, max(i) AS n FROM r GROUP BY 1),
   dp(pair_id, i, best) AS (SELECT pair_id, CAST(0 AS BIGINT), CAST([] AS INTEGER[]) FROM m UNION ALL
     SELECT dp.pair_id, dp.i + 1, CASE WHEN len(list_where(best, list_transform(best, lambda x: x >= new_no))) = 0 THEN list_append(best, new_no) ELSE list_concat(list_append(list_slice(best, 1, len(best) - len(list_filter(best, lambda x: x >= new_no))), new_no), list_slice(best, len(best) - len(list_filter(best, lambda x: x >= new_no)) + 2, len(best))) END
-    FROM dp JOIN r ON r.pair_id = dp.pair_id AND r.i = dp.i + 1)
-SELECT pair_id, CAST(len(best) AS BIGINT) AS length FROM dp JOIN m USING (pair_id) WHERE i = n""")
+    FROM dp JOIN r ON r.pair_id = dp.pair_id AND r.i = dp.i + 1)"""
+
+
+@query(f"{_LIS} SELECT pair_id, CAST(len(best) AS BIGINT) AS length FROM dp JOIN m USING (pair_id) WHERE i = n")
 def lis_length(spark, d):
     return align.increasing_anchors(unique_anchors(spark, d)).groupBy("pair_id").agg(F.count("*").alias("length"))
 
@@ -326,6 +337,23 @@ def change_blocks(spark, d):
     return align.change_blocks(_positional(spark, d)).groupBy("pair_id", "block_id").agg(F.count_if(F.col("op") == "-").alias("n_removed"), F.count_if(F.col("op") == "+").alias("n_added"))
 
 
+@query(f"{_LIS}, u AS (SELECT pair_id, len(best) AS k FROM dp JOIN m USING (pair_id) WHERE i = n), x AS (SELECT pair_id, count(*) AS a FROM ol GROUP BY 1), y AS (SELECT pair_id, count(*) AS b FROM nl GROUP BY 1) SELECT pair_id, CAST(coalesce(k, 0) AS BIGINT) AS unchanged, CAST(a - coalesce(k, 0) AS BIGINT) AS removed, CAST(b - coalesce(k, 0) AS BIGINT) AS added FROM x JOIN y USING (pair_id) LEFT JOIN u USING (pair_id)")
+def patience_stats(spark, d):
+    n = lambda op: F.count_if(F.col("op") == op)
+    return align.patience_rows(*_edited(spark, d)).groupBy("pair_id").agg(n("=").alias("unchanged"), n("-").alias("removed"), n("+").alias("added"))
+
+
+@query(f"WITH {EDITED} SELECT pair_id, line_no, line FROM nl")
+def patience_keeps_new(spark, d):
+    return align.patience_rows(*_edited(spark, d)).where("op != '-'").select("pair_id", F.col("new_no").alias("line_no"), "line")
+
+
+@query(f"WITH {POSITIONAL} SELECT pair_id, count(*) AS entries, count(*) FILTER (op = '=') AS unchanged, count(*) FILTER (op = '-') AS removed, count(*) FILTER (op = '+') AS added, count(*) FILTER ({TRIM.format('line')} <> '') AS not_blank FROM pe GROUP BY 1")
+def content_stats(spark, d):
+    n = lambda op: F.count_if(F.col("op") == op).alias({"=": "unchanged", "-": "removed", "+": "added"}[op])
+    return _positional(spark, d).groupBy("pair_id").agg(F.count("*").alias("entries"), n("="), n("-"), n("+"), F.count_if(txt.trimmed(F.col("line")) != "").alias("not_blank"))
+
+
 @query(f"""WITH {_ANCHORS}, s AS (SELECT pair_id, new_no - old_no AS shift, old_no, new_no, new_no - row_number() OVER (PARTITION BY pair_id, new_no - old_no ORDER BY new_no) AS g FROM an WHERE abs(new_no - old_no) >= 2)
 SELECT pair_id, shift, min(old_no) AS start_old, min(new_no) AS start_new, count(*) AS size FROM s GROUP BY pair_id, shift, g""")
 def shifted_unchanged(spark, d):
@@ -346,6 +374,17 @@ def content_moves_3(spark, d):
     return align.content_windows(*_edited(spark, d), 3)
 
 
+@query()
+def content_moves(spark, d):
+    return late_moves.content_moves(*_edited(spark, d))
+
+
+@query()
+def node_moves(spark, d):
+    pairs = src.edited_pairs(_docs(spark, d))
+    return late_moves.node_moves(late_moves.text_nodes(pairs, text_col="old_text"), late_moves.text_nodes(pairs, text_col="new_text"))
+
+
 @query(f"WITH {EDITED} SELECT pair_id, count(*) FILTER (k = '-') AS removed, count(*) FILTER (k = '+') AS added FROM (SELECT pair_id, '-' AS k FROM (SELECT pair_id, line FROM ol EXCEPT ALL SELECT pair_id, line FROM nl) UNION ALL SELECT pair_id, '+' FROM (SELECT pair_id, line FROM nl EXCEPT ALL SELECT pair_id, line FROM ol)) GROUP BY 1")
 def diff_stats_multiset(spark, d):
     old, new = (x.select("pair_id", "line") for x in _edited(spark, d))

@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer tasks than the session has cores, dealt out to all cores, for queries that compute much for each row. Larger scans stay as they are, so this shuffle is bounded by the cores times the size of a split."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def explode_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, line_no (from 0), line; a final empty line counts."""
     return df.select(F.col(id_col), F.posexplode(lines_of(F.col(text_col))).alias("line_no", "line"))
