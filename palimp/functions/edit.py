@@ -143,17 +143,34 @@ def value_script(a: str, b: str, split=words_of) -> list[dict]:
     return out
 
 
+def _comparable(text: str) -> tuple[str, list[str], list[str]]:
+    """The trimmed, lower-cased text, its words, and what they are compared by."""
+    t = text.strip().lower()
+    words = words_of(t)
+    return t, words, [" " if w.isspace() else w for w in words]
+
+
+def word_similarities(a: list[str | None], b: list[str | None]) -> list[float | None]:
+    """Twice the characters of words in common over both lengths, of the trimmed, lower-cased texts. Texts that repeat are cut into words once."""
+    seen: dict[str, tuple[str, list[str], list[str]]] = {}
+    out: list[float | None] = []
+    for x, y in zip(a, b, strict=True):
+        if x is None or y is None:
+            out.append(None)
+            continue
+        for t in (x, y):
+            if t not in seen:
+                seen[t] = _comparable(t)
+        (s, words, p), (t, _, q) = seen[x], seen[y]
+        if s == t or not s or not t:
+            out.append(float(s == t))
+        else:
+            out.append(min(1.0, 2 * sum(len(words[i]) for i, _ in matches_of(p, q)) / (len(s) + len(t))))
+    return out
+
+
 def word_similarity_of(a: str | None, b: str | None) -> float | None:
-    """Twice the characters of words in common over both lengths, of the trimmed, lower-cased texts."""
-    if a is None or b is None:
-        return None
-    a, b = a.strip().lower(), b.strip().lower()
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    same = sum(len(x["value"]) for x in value_script(a, b) if x["op"] == "=")
-    return min(1.0, 2 * same / (len(a) + len(b)))
+    return word_similarities([a], [b])[0]
 
 
 SCRIPT = T.ArrayType(T.StructType([T.StructField("op", T.StringType()), T.StructField("old_no", T.IntegerType()), T.StructField("new_no", T.IntegerType())]))

@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .edit import word_similarity_of
+from .edit import word_similarities
 from .text import bound, lines_of, normal_form, trimmed
 
 #: Keywords that the quick measure looks for, and its weights.
@@ -91,4 +91,4 @@ def block_similarity(a: Column, b: Column) -> Column:
 
 @F.arrow_udf(T.DoubleType())
 def word_similarity(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([word_similarity_of(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
+    return pa.array(word_similarities(a.to_pylist(), b.to_pylist()), pa.float64())

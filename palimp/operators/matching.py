@@ -8,23 +8,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimp.config import DEFAULT, Options
-from palimp.functions.signature import line_signature, signature_similarity
+from palimp.functions.signature import form_signature, signature_similarity
 from palimp.functions.similarity import EPSILON, SHORT, fast_line_similarity, word_similarity
 from palimp.functions.text import normal_form
 
 
-def candidates(blocks: DataFrame, options: Options = DEFAULT) -> DataFrame:
+def candidates(blocks: DataFrame, options: Options = DEFAULT, least: float = 0.0) -> DataFrame:
     """pair_id, block_id, old_no, new_no, removed_line, added_line, sig_sim, sim of removed and added lines of a block.
 
-    Three tiers: equal 1; signatures too different half their similarity; the rest by words. Only the third goes through Python.
+    Three tiers: equal 1; signatures too different half their similarity; the rest by words. Only the third goes through Python, without the pairs whose lengths rule out a similarity of `least`.
     """
-    keep = blocks.withColumn("sig", line_signature(F.col("line")))
-    a = keep.where("op = '-'").select("pair_id", "block_id", "old_no", F.col("line").alias("removed_line"), F.col("sig").alias("sa"))
-    b = keep.where("op = '+'").select("pair_id", "block_id", "new_no", F.col("line").alias("added_line"), F.col("sig").alias("sb"))
-    x = a.join(b, ["pair_id", "block_id"]).withColumn("sig_sim", signature_similarity(F.col("sa"), F.col("sb"))).drop("sa", "sb")
+    bare = F.regexp_replace("line", r"(?U)^\s+|\s+$", "")
+    keep = blocks.withColumns({"sig": form_signature(normal_form(F.col("line"))), "size": F.length(bare), "solid": F.length(F.regexp_replace("line", r"(?U)\s", ""))})
+    a = keep.where("op = '-'").select("pair_id", "block_id", "old_no", F.col("line").alias("removed_line"), F.col("sig").alias("sa"), F.col("size").alias("na"), F.col("solid").alias("ka"))
+    b = keep.where("op = '+'").select("pair_id", "block_id", "new_no", F.col("line").alias("added_line"), F.col("sig").alias("sb"), F.col("size").alias("nb"), F.col("solid").alias("kb"))
+    # common characters: all of the old line at most, or the new line's own and the old line's white space; two more for letters whose case changes their length
+    may = 2 * (F.least(F.col("na"), F.col("kb") + F.col("na") - F.col("ka")) + 2) >= least * (F.col("na") + F.col("nb"))
+    x = a.join(b, ["pair_id", "block_id"]).withColumns({"sig_sim": signature_similarity(F.col("sa"), F.col("sb")), "may": may}).drop("sa", "sb", "na", "nb", "ka", "kb")
     equal, far = F.col("removed_line") == F.col("added_line"), F.col("sig_sim") < options.fast_threshold
-    cheap = x.where(equal | far).withColumn("sim", F.when(equal, 1.0).otherwise(0.5 * F.col("sig_sim")))
-    return cheap.unionByName(x.where(~equal & ~far).withColumn("sim", word_similarity("removed_line", "added_line")))
+    cheap = x.where(equal | far).drop("may").withColumn("sim", F.when(equal, 1.0).otherwise(0.5 * F.col("sig_sim")))
+    return cheap.unionByName(x.where(~equal & ~far & F.col("may")).drop("may").withColumn("sim", word_similarity("removed_line", "added_line")))
 
 
 @F.arrow_udf(T.ArrayType(T.IntegerType()))

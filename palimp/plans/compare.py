@@ -52,7 +52,7 @@ def classify(edits: DataFrame, options: Options = DEFAULT) -> DataFrame:
         big = written(big, "block-moves")
         taken.append(big)
         blocks = written(unpaired(blocks, big), "blocks")
-    pairs = written(greedy_pairs(candidates(blocks, options), options.modified_threshold), "pairings")
+    pairs = written(greedy_pairs(candidates(blocks, options, options.modified_threshold), options.modified_threshold), "pairings")
     taken.append(pairs.select("pair_id", "old_no", "new_no", F.col("sim").alias("similarity"), F.lit("modified").alias("classification")))
     rest = written(unpaired(blocks, pairs), "rest")
     if options.detect_moves:

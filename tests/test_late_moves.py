@@ -84,3 +84,13 @@ def test_large_script():
     b = a[500:] + a[:500]
     s = script_of(a, b)
     assert [a[i] for _, i, _ in s if i is not None] == a and [b[j] for _, _, j in s if j is not None] == b
+
+
+def test_both_signatures(spark):
+    from palimp.functions.signature import form_signature, line_signature
+    from palimp.functions.text import normal_form
+
+    rng = random.Random(3)
+    texts = ["", None, "a", "ab", " A ", "é😀", "😀", *("".join(rng.choice("abcXYZ é😀 1") for _ in range(rng.randrange(30))) for _ in range(200))]
+    x = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert x.where(~line_signature(x.t).eqNullSafe(form_signature(normal_form(x.t)))).count() == 0
