@@ -46,7 +46,7 @@ def _greedy(old: pa.Array, new: pa.Array) -> pa.Array:
 
 
 def greedy_pairs(scored: DataFrame, threshold: float, keys: tuple[str, ...] = ("pair_id", "block_id")) -> DataFrame:
-    """One-to-one pairs, highest similarity first, ties by old_no, then new_no. scored: keys, old_no, new_no, sim. A group has max_pairs rows at most, as larger pairs take the degraded plan."""
+    """One-to-one pairs, highest similarity first, ties by old_no, then new_no. scored: keys, old_no, new_no, sim. A group is held in one row; in compare() it has max_pairs candidates at most, as larger pairs take the degraded plan."""
     sorted_ = F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("far"), "old_no", "new_no")))
     x = scored.where(F.col("sim") >= threshold).groupBy(*keys).agg(sorted_.alias("p"))
     x = x.select(*keys, "p", F.explode(_greedy("p.old_no", "p.new_no")).alias("i"))
