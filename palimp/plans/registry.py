@@ -111,7 +111,8 @@ def turn_pairs(spark, d):
   k AS (SELECT g.* FROM g JOIN r USING (line)), c AS (SELECT a.doc_id AS a_id, b.doc_id AS b_id, count(*) AS common FROM k a JOIN k b ON a.line = b.line AND a.doc_id < b.doc_id GROUP BY 1, 2)
 SELECT a_id, b_id, common FROM c JOIN n x ON x.doc_id = a_id JOIN n y ON y.doc_id = b_id WHERE common / greatest(x.n, y.n) >= 0.3""")
 def near_copy_pairs(spark, d):
-    return src.near_copy_pairs(_docs(spark, d))
+    # the limit of 50 is the SQL's; without it the source counts all lines
+    return src.near_copy_pairs(_docs(spark, d), hot=50)
 
 
 @query(f"WITH {EDITED} SELECT pair_id, line_no, line FROM nl")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimp.functions.text import lines_of
 from palimp.session import ship
+from palimp.storage import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,16 +38,34 @@ def turn_pairs(conversations: DataFrame) -> DataFrame:
     return out.where("old_text is not null")
 
 
-def near_copy_pairs(documents: DataFrame, shared: float = 0.3, least_chars: int = 20, hot: int = 50) -> DataFrame:
-    """Documents that share lines: a_id < b_id, common. Lines of more than `hot` documents count as boilerplate and are left out on both sides, so no line makes more than hot squared pairs."""
-    lines = explode_lines(documents, "doc_id", "text")
-    size = lines.groupBy("doc_id").agg(F.count("*").alias("n"))
-    long_lines = lines.where(F.length("line") > least_chars).select("doc_id", "line").distinct()
-    rare = long_lines.groupBy("line").agg(F.count("*").alias("docs")).where(F.col("docs").between(2, hot)).select("line")
-    kept = long_lines.join(rare, "line")
-    common = kept.select("line", F.col("doc_id").alias("a_id")).join(kept.select("line", F.col("doc_id").alias("b_id")), "line").where("a_id < b_id").groupBy("a_id", "b_id").agg(F.count("*").alias("common"))
-    out = common.join(size.select(F.col("doc_id").alias("a_id"), F.col("n").alias("na")), "a_id").join(size.select(F.col("doc_id").alias("b_id"), F.col("n").alias("nb")), "b_id")
-    return out.where(F.col("common") / F.greatest("na", "nb") >= shared).select("a_id", "b_id", "common")
+def near_copy_pairs(documents: DataFrame, shared: float = 0.3, least_chars: int = 20, hot: int | None = None) -> DataFrame:
+    """Documents that share lines: a_id < b_id, common. With `hot`, lines of more documents than that don't count; without, all lines do.
+
+    Documents with the same long lines and as many lines make a class, and classes are compared. A class is looked up by its rarest lines only, one more than it can miss: two that share enough
+    have one of these in common, so the lines of most documents are rarely joined, and none is left out of the count. Lines are known by 128 bits of a hash.
+    """
+    lines = lines_of(F.col("text"))
+    size = documents.select("doc_id", F.size(lines).cast("long").alias("n")).where("n > 0").groupBy("doc_id").agg(F.sum("n").alias("n"))
+    hashed = F.transform(F.array_distinct(F.filter(lines, lambda x: F.length(x) > least_chars)), lambda x: F.unhex(F.substring(F.sha2(x.cast("binary"), 256), 1, 32)))
+    long_lines = documents.select("doc_id", F.explode(hashed).alias("h")).distinct()
+    met = long_lines.groupBy("h").agg(F.count("*").alias("docs")).where(F.col("docs") >= 2)
+    met = met if hot is None else met.where(F.col("docs") <= hot)
+    sets = long_lines.join(met, "h").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("docs", "h"))).alias("s")).join(size, "doc_id").withColumn("s", F.col("s.h"))
+    # a little less than the share, so that rounding leaves nothing out before the test itself
+    need = F.greatest(F.lit(1), F.ceil(F.col("n") * shared - 1e-6)).cast("int")
+    key = F.sha2(F.concat(F.aggregate("s", F.lit(b""), lambda x, h: F.concat(x, h)), F.col("n").cast("string").cast("binary")), 256)
+    sets = written(sets.withColumn("look", F.size("s") - need + 1).where("look > 0").withColumn("k", key), "line-sets")
+    first = written(sets.groupBy("k").agg(F.min("doc_id").alias("c"), F.count("*").alias("docs")), "classes")
+    of = sets.select("doc_id", "k").join(first.select("k", "c"), "k").select("doc_id", "c")
+    classes = sets.select(F.col("doc_id").alias("c"), "s", "n", "look").join(first.select("c", "docs"), "c")
+    look = classes.select("c", F.explode(F.slice("s", F.lit(1), F.col("look"))).alias("h"))
+    near = look.select("h", F.col("c").alias("x")).join(look.select("h", F.col("c").alias("y")), "h").where("x < y").select("x", "y").distinct()
+    near = near.join(classes.select(F.col("c").alias("x"), F.col("s").alias("sx"), F.col("n").alias("nx")), "x").join(classes.select(F.col("c").alias("y"), F.col("s").alias("sy"), F.col("n").alias("ny")), "y")
+    near = near.select("x", "y", F.size(F.array_intersect("sx", "sy")).cast("long").alias("common"), F.greatest("nx", "ny").alias("most"))
+    same = classes.where("docs > 1").select(F.col("c").alias("x"), F.col("c").alias("y"), F.size("s").cast("long").alias("common"), F.col("n").alias("most"))
+    links = near.union(same).where(F.col("common") / F.col("most") >= shared)
+    out = links.join(of.select(F.col("c").alias("x"), F.col("doc_id").alias("p")), "x").join(of.select(F.col("c").alias("y"), F.col("doc_id").alias("q")), "y").where("x != y or p < q")
+    return out.select(F.least("p", "q").alias("a_id"), F.greatest("p", "q").alias("b_id"), "common")
 
 
 def edited_lines(documents: DataFrame, least: int = 10) -> tuple[DataFrame, DataFrame]:
