@@ -58,13 +58,10 @@ def _similar_together(segments: list) -> list:
 
 
 def build_index(items: list[tuple[str | None, str | None]], k: int) -> ItemIndex | None:
-    """items: question and answer; where the answer is null, the last third of the question's words is taken for it."""
+    """items: question and answer; where the answer is null, the question is the whole item."""
     asked, answered = _words([q or "" for q, _ in items]), _words([a or "" for _, a in items])
     whole, parts = [], []
-    for (_, given), q, a in zip(items, asked, answered, strict=True):
-        if given is None:
-            cut = -(-2 * len(q) // 3)
-            q, a = q[:cut], q[cut:]
+    for q, a in zip(asked, answered, strict=True):
         whole.append(np.concatenate([q, a]))
         parts.append((*_shingles(q, k), *_shingles(a, k)))
     segments = [(i, w[s : s + PASSAGE]) for i, w in enumerate(whole) for s in range(0, len(w), PASSAGE)]
@@ -184,7 +181,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = 5, similarity
     """doc_id, item_id, score, question_overlap, answer_overlap of each contaminated text and item.
 
     Words are runs of ASCII letters and digits and of bytes from 128 on, A-Z lower-cased. Null or empty texts and items match nothing; an item of fewer words than a shingle is one
-    shingle. Repeated rows give a row each. benchmark: item_id, text, and answer_col if there is one. Other columns are ignored. No shuffle: the index is broadcast, with a bounded size.
+    shingle. Without an answer, question_overlap is that of the whole item and answer_overlap is 1. Repeated rows give a row each. benchmark: item_id, text, and answer_col if there is one. Other columns are ignored. No shuffle: the index is broadcast, with a bounded size.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
