@@ -55,14 +55,21 @@ def shifted_stretches(anchors: DataFrame, least: int = 2) -> DataFrame:
     return x.groupBy("pair_id", "shift", "island").agg(F.min("old_no").alias("start_old"), F.min("new_no").alias("start_new"), F.count("*").alias("size")).drop("island")
 
 
-def diagonal_runs(old: DataFrame, new: DataFrame, hot: int = 10_000) -> DataFrame:
-    """Maximal runs of equal lines at a constant offset: pair_id, start_old, start_new, size. Lines with more than `hot` (old, new) combinations in a pair don't seed runs."""
-    n = lambda df, c: df.groupBy("pair_id", "line").agg(F.count("*").alias(c))
-    fit = n(old, "x").join(n(new, "y"), ["pair_id", "line"]).where(F.col("x") * F.col("y") <= hot).select("pair_id", "line")
-    x = old.select("pair_id", "line", F.col("line_no").alias("i")).join(fit, ["pair_id", "line"]).join(new.select("pair_id", "line", F.col("line_no").alias("j")), ["pair_id", "line"])
-    w = Window.partitionBy("pair_id", "d").orderBy("i")
-    x = x.withColumn("d", F.col("i") - F.col("j")).withColumn("island", F.col("i") - F.row_number().over(w))
-    return x.groupBy("pair_id", "d", "island").agg(F.min("i").alias("start_old"), F.min("j").alias("start_new"), F.count("*").alias("size")).select("pair_id", "start_old", "start_new", "size")
+def diagonal_runs(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Maximal runs of equal lines at a constant offset: pair_id, start_old, start_new, size. Stretches of one repeated line meet as wholes: p and q such lines make p + q - 1 pieces of diagonals, not p times q rows."""
+
+    def stretches(df: DataFrame, name: str) -> DataFrame:
+        x = df.withColumn("g", F.col("line_no") - F.dense_rank().over(Window.partitionBy("pair_id", "line").orderBy("line_no")))
+        return x.groupBy("pair_id", "line", "g").agg(F.min("line_no").alias(f"{name}0"), F.max("line_no").alias(f"{name}1")).drop("g")
+
+    x = stretches(old, "a").join(stretches(new, "b"), ["pair_id", "line"])
+    x = x.withColumn("d", F.explode(F.sequence(F.col("a0") - F.col("b1"), F.col("a1") - F.col("b0"))))
+    x = x.select("pair_id", "d", F.greatest("a0", F.col("b0") + F.col("d")).alias("i"), F.least("a1", F.col("b1") + F.col("d")).alias("last"))
+    # the lines of a diagonal before a piece, taken from its start, are the same for pieces that touch
+    before = F.sum(F.col("last") - F.col("i") + 1).over(Window.partitionBy("pair_id", "d").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
+    x = x.withColumn("island", F.col("i") - F.coalesce(before, F.lit(0)))
+    x = x.groupBy("pair_id", "d", "island").agg(F.min("i").alias("start_old"), (F.max("last") - F.min("i") + 1).cast("long").alias("size"))
+    return x.select("pair_id", "start_old", (F.col("start_old") - F.col("d")).alias("start_new"), "size")
 
 
 def content_windows(old: DataFrame, new: DataFrame, k: int, least_chars: int = 10) -> DataFrame:
