@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .shared import fresh_dir, written
 
-#: Payloads of fewer bytes are never revisits; bytes of a range; level of compression; bytes that are read at once, and from which a header must decode.
-SMALLEST, SPLIT, LEVEL, READ, PROBE = 100, 8 << 20, 4, 1 << 18, 1 << 16
+#: Payloads of fewer bytes are never revisits; bytes of a range; level of compression; bytes that are read at once, and that are decoded at once in search of a header's end.
+SMALLEST, SPLIT, LEVEL, READ, PROBE = 100, 8 << 20, 4, 1 << 18, 1 << 12
 MAGIC = b"\x1f\x8b\x08"
 MANIFEST = "path string, size long, records long"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -114,11 +114,19 @@ def _header(text: bytes) -> tuple[dict[str, str], int] | None:
 
 
 def _is_member(w: _Window, pos: int) -> bool:
+    """If a WARC record starts here: decodes until its header ends, however long it is, or the bytes prove to be something else."""
+    z, text, at, end = zlib.decompressobj(31), bytearray(), pos, -1
     try:
-        text = zlib.decompressobj(31).decompress(w.get(pos, min(PROBE, w.size - pos)), PROBE)
+        while end < 0:
+            piece = w.get(at, min(PROBE, w.size - at))
+            if z.eof or not piece or not b"WARC/".startswith(bytes(text[:5])):
+                return False
+            seen, at = max(0, len(text) - 3), at + len(piece)
+            text += z.decompress(piece)
+            end = text.find(b"\r\n\r\n", seen)
     except zlib.error:
         return False
-    return _header(text) is not None
+    return _header(bytes(text[: end + 4])) is not None
 
 
 def records_of_range(f, size: int, start: int, end: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
