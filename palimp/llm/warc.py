@@ -20,13 +20,18 @@ from pyspark.sql import functions as F
 
 from .shared import fresh_dir, written
 
-#: Payloads of fewer bytes are never revisits; bytes of a range; level of compression; bytes that are read at once, and that are decoded at once in search of a header's end.
-SMALLEST, SPLIT, LEVEL, READ, PROBE = 100, 8 << 20, 4, 1 << 18, 1 << 12
+#: Payloads of fewer bytes are never revisits; bytes of a range; level of compression; bytes that are read at once, and that are decoded at once in search of a header's end; tasks of a read at most.
+SMALLEST, SPLIT, LEVEL, READ, PROBE, TASKS = 100, 8 << 20, 4, 1 << 18, 1 << 12, 50_000
 MAGIC = b"\x1f\x8b\x08"
 MANIFEST = "path string, size long, records long"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of an address, and the path in it: local files, HDFS, S3, Google and Azure stores; s3a and s3n, as Spark calls them, are S3."""
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
 def record_id(x: int | None) -> str:
     return f"<urn:page:{'' if x is None else x}>"
 
@@ -51,7 +56,7 @@ def build_record(page: int | None, url: str | None, payload: bytes, digest: str,
 
 def _write(folder: str, date: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(folder)
+        fs, root = open_store(folder)
         fs.create_dir(root, recursive=True)
         name = f"{uuid.uuid4().hex}.warc.gz"
         out, size, n = None, 0, 0
@@ -185,15 +190,20 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_warc(manifest: DataFrame, split: int = SPLIT, payloads: bool = True) -> DataFrame:
-    """record_id, type, uri, date, refers_to, payload_bytes, payload_digest, intact [, payload] of each record of the files; intact: the payload has the stated digest. Files with zero bytes have none."""
-    ranges = manifest.where("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(split))).alias("start"))
-    ranges = ranges.repartition(F.col("path"), F.col("start"))
+    """record_id, type, uri, date, refers_to, payload_bytes, payload_digest, intact [, payload] of each record of the files; intact: the payload has the stated digest. Files with zero bytes have none.
+
+    Each range is a task of its own, up to TASKS tasks; beyond, tasks take several. Their number is set, because adaptive execution would merge the small rows that stand for large ranges.
+    """
+    files = manifest.where("size > 0")
+    n = files.agg(F.sum(F.ceil(F.col("size") / split))).first()[0] or 0
+    ranges = files.select("path", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(split))).alias("start"))
+    ranges = ranges.repartition(max(1, min(int(n), TASKS)))
     schema = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("uri", pa.string()), ("date", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("intact", pa.bool_())] + [("payload", pa.binary())] * payloads)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                fs, path = pafs.FileSystem.from_uri(r["path"])
+                fs, path = open_store(r["path"])
                 rows, size = [], 0
                 with fs.open_input_file(path) as f:
                     for _, fields, block in records_of_range(f, r["size"], r["start"], min(r["start"] + split, r["size"])):
