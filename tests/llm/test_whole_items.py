@@ -21,7 +21,7 @@ def test_one_word_replaced():
             if len(shingles(w) & shingles(v)) >= 0.8 * len(shingles(w)):
                 texts.append(" ".join(["before"] * rng.randint(0, 100) + v + ["after"] * rng.randint(0, 100)))
                 of.append(i)
-    ix = decontaminate.build_index([(" ".join(w), None) for w in items], 5)
+    ix = decontaminate.build_indexes([(" ".join(w), None) for w in items], 5)
     got = {(d, i) for d, i, *_ in decontaminate.leaks(pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"]), ix, 0.8)}
     assert len(texts) > 200 and got == set(enumerate(of))
     half = [" ".join(w[: len(w) // 2]) for w in items]
@@ -30,6 +30,6 @@ def test_one_word_replaced():
 
 def test_answer_is_verified_apart():
     q, a = [f"q{i}" for i in range(30)], [f"a{i}" for i in range(10)]
-    ix = decontaminate.build_index([(" ".join(q), " ".join(a))], 5)
+    ix = decontaminate.build_indexes([(" ".join(q), " ".join(a))], 5)
     texts = [" ".join(q + a), " ".join(q + a[:5] + ["other"] * 5)]
     assert [x[0] for x in decontaminate.leaks(pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"]), ix, 0.8)] == [0]
