@@ -7,8 +7,8 @@ Rows of the matrix are classes of documents with equal n-gram sets. The product
   hold the same n-grams in both. A row emits a signature of each range at its own level, and at the next ones that a larger partner may have; it leaves out
   its s poorest ranges at most: those with a weight below some number, which keeps a common range in both. The weight counts n-grams that aren't common first, then all. So passages that
   many documents share make hardly any candidates. Rows that share no signature at the own level of one of them can't be linked.
-* Rows that share signatures, directly or over others, form a candidate group; groups are cut into blocks of bounded size in the order of set size, and
-  pairs of blocks whose sizes are too far apart are discarded.
+* Rows that share signatures, directly or over others, form a candidate group. A group beyond PART is cut by set size into bands, and those by hash into blocks of bounded size;
+  pairs of blocks whose sizes are too far apart are discarded. Block numbers come from sums by band, so no task sees a whole group.
 * In each pair of blocks the product of the two incidence blocks accumulates overlap counts: by a dense product over n-grams of many rows, by
   enumerating over n-grams of few. Pairs below the bound are discarded there; what leaves the task is one row per linked row, never the pairs.
 
@@ -17,6 +17,7 @@ The result is exact up to collisions of 64-bit hashes.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +29,12 @@ from .components import connected_components
 from .shared import written
 from .textkernel import U, as_long, chunks, mix, shingle_hashes, tokenize
 
-#: n-grams (each row counts ROW more) of a block of rows.
-BLOCK, ROW = 1_000_000, 500
+#: n-grams (each row counts ROW more) of a block of rows at most, and of a group that is one block; a larger group has some SPREAD blocks at least.
+BLOCK, PART, SPREAD, ROW = 1_000_000, 60_000, 16, 1000
 #: n-grams of a stretch in which common ones are looked for, the share of its texts that makes one common, and common ones at most.
-HELD, COMMON, KNOWN = 4_000_000, 0.001, 1_000_000
+HELD, COMMON, KNOWN = 2_000_000, 0.001, 1_000_000
+#: Signatures that a task combines at once; rows of one foreign level that share a signature there, from which on they are linked at once.
+POSTS, MANY = 500_000, 8
 _LEVELS = [6]
 while _LEVELS[-1] < 1 << 40:
     _LEVELS.append(_LEVELS[-1] * 6 // 5 + 1)
@@ -144,14 +147,46 @@ def common_ngrams(texts: DataFrame, words: int) -> np.ndarray:
     return np.sort(found.where(F.col("n") >= least).select("gram").toArrow().column(0).to_numpy().astype(np.int64).view(U))
 
 
+def _hubs(sig: np.ndarray, cls: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """sig, cls, far, hub: of the rows that share a signature here, the first (own level before others, then the smallest class) stays a posting, the others become links to it (far: -1).
+
+    Rows that share one of foreign levels only are left as they are, unless they are MANY. So a signature that is frequent in all tasks gives few rows of each.
+    """
+    order = np.argsort(sig)
+    same = sig[order[1:]] == sig[order[:-1]]
+    several = np.zeros(len(sig), bool)
+    several[order[np.flatnonzero(same)]] = several[order[np.flatnonzero(same) + 1]] = True
+    alone = [x[~several] for x in (sig, cls, far, cls)]
+    sig, cls, far = sig[several], cls[several], far[several]
+    if not len(sig):
+        return tuple(alone)
+    order = np.lexsort((cls, far, sig))
+    sig, cls, far = sig[order], cls[order], far[order]
+    first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+    n = np.diff(np.r_[first, len(sig)])
+    hub, head = np.repeat(cls[first], n), np.zeros(len(sig), bool)
+    head[first] = True
+    joined = ~head & np.repeat((far[first] == 0) | (n >= MANY), n)
+    far[joined] = -1
+    links = np.flatnonzero(joined & (cls != hub))
+    with np.errstate(over="ignore"):
+        _, once = np.unique(mix(cls[links] * U(3) + hub[links]), return_index=True)
+    keep = ~joined
+    keep[links[once]] = True
+    return tuple(np.concatenate([x, y[keep]]) for x, y in zip(alone, (sig, cls, far, hub), strict=True))
+
+
 def _signatures(words: int, percent: int, common):
-    """sig, cls, far (0 if the level is the row's own) of each row."""
+    """Postings (sig, cls, far: 0 if the level is the row's own, else 1) of each row, and links (cls, hub; far: -1) of rows that share a signature in the same task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig, cls, far, size = [], [], [], 0
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([as_long(np.concatenate(sig)), as_long(np.concatenate(cls)), pa.array(np.concatenate(far))], names=["sig", "cls", "far"])
+            x = _hubs(np.concatenate(sig), np.concatenate(cls), np.concatenate(far))
+            link = x[2] < 0
+            # links are dealt out by their row, not by the signature they share
+            return pa.RecordBatch.from_arrays([as_long(np.where(link, x[1], x[0])), as_long(x[1]), pa.array(x[2]), pa.array(x[3].view(np.int64), mask=~link)], names=["sig", "cls", "far", "hub"])
 
         for h, c in _fresh(batches, words):
             for i, s in enumerate(signatures(h, percent, common.value)):
@@ -159,7 +194,7 @@ def _signatures(words: int, percent: int, common):
                 cls.append(np.full(len(s), c, U))
                 far.append(np.full(len(s), min(i, 1), np.int8))
                 size += len(s)
-            if size > 500_000:
+            if size > POSTS:
                 yield out()
                 sig, cls, far, size = [], [], [], 0
         if size:
@@ -198,7 +233,7 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
         a = np.zeros((m, len(s)), np.float32)
         a[d[np.concatenate([np.arange(x, x + y) for x, y in zip(s, n, strict=True)])], np.repeat(np.arange(len(s)), n)] = 1
         out += a @ a.T
-    flat = np.zeros(m * m, np.float64)
+    half = np.zeros(m * m, np.float32)
     for n in range(2, 25):
         s = first[length == n]
         if not len(s):
@@ -208,11 +243,13 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
             for j in range(i + 1, n):
                 at = rows[:, i] * m + rows[:, j]
                 if len(at) * 8 > m * m:
-                    flat += np.bincount(at, minlength=m * m)
+                    half += np.bincount(at, minlength=m * m).astype(np.float32)
                 else:
-                    np.add.at(flat, at, 1)
-    half = flat.reshape(m, m)
-    return out + half + half.T
+                    np.add.at(half, at, 1)
+    half = half.reshape(m, m)
+    out += half
+    out += half.T
+    return out
 
 
 def _block(percent: int):
@@ -224,7 +261,11 @@ def _block(percent: int):
         sets = [np.frombuffer(x, U) for x in t.column("grams").to_pylist()]
         n = np.array([len(x) for x in sets], np.float64)
         o = overlaps(sets)
-        link = 100 * o >= percent * (n[:, None] + n[None, :] - o)
+        link = np.empty(o.shape, bool)
+        for i in range(0, len(n), 256):
+            part = o[i : i + 256].astype(np.float64)
+            link[i : i + 256] = 100 * part >= percent * (n[i : i + 256, None] + n[None, :] - part)
+        del o
         np.fill_diagonal(link, False)
         if blk.min() != blk.max():
             link &= blk[:, None] != blk[None, :]
@@ -257,17 +298,27 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     classes = written(classes.select("cls", F.col("known.doc_id").alias("rep"), F.coalesce("known.crc", "some").alias("crc"), "copies", "n"), "classes")
 
     common = docs.sparkSession.sparkContext.broadcast(common_ngrams(base.select("text"), words))
-    posts = base.select("text").mapInArrow(_signatures(words, percent, common), "sig long, cls long, far tinyint")
-    earlier = Window.partitionBy("sig").orderBy("far", "cls").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    near = posts.select("cls", F.first("cls").over(earlier).alias("hub"), F.first("far").over(earlier).alias("far")).where("far = 0 and cls != hub").groupBy("cls", "hub").agg(F.lit(1).alias("one"))
+    posts = base.select("text").mapInArrow(_signatures(words, percent, common), "sig long, cls long, far tinyint, hub long")
+    # a link keeps its own hub, in a window of its own: it stands alone or with postings that it leaves alone
+    earlier = Window.partitionBy("sig", F.col("far") < 0).orderBy("far", "cls").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    posts = posts.select("cls", F.coalesce("hub", F.first("cls").over(earlier)).alias("hub"), F.first("far").over(earlier).alias("far"))
+    near = posts.where("far <= 0 and cls != hub").groupBy("cls", "hub").agg(F.lit(1).alias("one"))
     groups = connected_components(near, "cls", "hub")
 
-    running = Window.partitionBy("root").orderBy("n", "cls").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    members = groups.withColumnRenamed("node", "cls").join(classes, "cls")
-    members = written(members.withColumn("blk", F.floor((F.sum(F.col("n") + ROW).over(running) - 1) / BLOCK)), "members")
+    members = groups.withColumnRenamed("node", "cls").join(classes, "cls").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)))
+    bands = members.groupBy("root", "band").agg(F.sum(F.col("n") + ROW).alias("weight"))
+    of_group = Window.partitionBy("root")  # a row for each band: some hundred at most
+    bands = bands.withColumn("all", F.sum("weight").over(of_group))
+    room = F.least(F.lit(BLOCK), F.greatest(F.lit(PART), F.col("all") / SPREAD))
+    bands = bands.select(F.col("root").alias("r"), F.col("band").alias("b"), F.when(F.col("all") > PART, F.ceil(F.col("weight") / room)).otherwise(0).alias("cuts"))
+    # an inner join, in which adaptive execution can split a group with many rows
+    members = members.join(bands, (F.col("root") == F.col("r")) & (F.col("band") == F.col("b")))
+    members = members.withColumn("blk", F.when(F.col("cuts") > 0, F.col("band") * (1 << 32) + F.pmod(F.xxhash64("cls"), F.col("cuts"))).otherwise(0))
+    members = written(members.select("root", "cls", "rep", "crc", "copies", "n", "blk"), "members")
     blocks = members.groupBy("root", "blk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     one, two = blocks.select("root", F.col("blk").alias("b1"), F.col("hi").alias("hi1")), blocks.select("root", F.col("blk").alias("b2"), F.col("lo").alias("lo2"))
-    pairs = one.join(two, "root").where("b1 <= b2").where(F.col("hi1") * 100 >= F.col("lo2") * percent).select("root", "b1", "b2", F.explode(F.array_distinct(F.array("b1", "b2"))).alias("blk"))
+    pairs = one.join(two, "root").where("b1 <= b2").where(F.col("hi1") * 100 >= F.col("lo2") * percent)  # bands rise with sizes
+    pairs = pairs.select("root", "b1", "b2", F.explode(F.array_distinct(F.array("b1", "b2"))).alias("blk"))
     tasks = pairs.groupBy("root", "blk").agg(F.collect_list(F.struct("b1", "b2")).alias("tasks"))  # a number for each block of the group
     wanted = members.join(tasks, ["root", "blk"])
     fetched = base.join(wanted, base["doc_id"].eqNullSafe(wanted["rep"]) & (base["crc"] == wanted["crc"])).select("text", "root", "blk", "cls", "copies", "tasks")
