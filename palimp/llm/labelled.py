@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .textkernel import U, mix, shingle_hashes, tokenize
+
 
 def crc_of_id(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))
@@ -27,3 +31,27 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, train: C
     chosen = spark.createDataFrame(rows, ids.schema)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     return sorted({(r["text"], r["y"]) for r in texts.select("text", "y").collect()})
+
+
+def without_near_copies(sample: list[tuple[str, int]], bands: int = 20, rows: int = 6) -> list[tuple[str, int]]:
+    """The first of the texts of one label that share a band of minimum hashes of three-word shingles, directly or over others. Copies of one text are one piece of evidence, not many."""
+    tok = tokenize(pa.array([t for t, _ in sample], pa.string()))
+    h = tok.hashes()
+    lead = list(range(len(sample)))
+
+    def find(i: int) -> int:
+        while lead[i] != i:
+            lead[i] = lead[lead[i]]
+            i = lead[i]
+        return i
+
+    seen: dict[tuple, int] = {}
+    for i, (_, y) in enumerate(sample):
+        s = shingle_hashes(h[tok.woff[i] : tok.woff[i + 1]], 3)
+        if not len(s):
+            continue
+        least = [int(mix(s ^ U(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)).min()) for k in range(1, bands * rows + 1)]
+        for b in range(bands):
+            a, c = sorted((find(i), find(seen.setdefault((y, b, *least[b * rows : (b + 1) * rows]), i))))
+            lead[c] = a
+    return [x for i, x in enumerate(sample) if find(i) == i]
