@@ -27,7 +27,7 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """One document of each group of near duplicates (five words, similarity 0.8): the row with the smallest id, null first. A row is known by its id and the hash of its text, so rows with other texts under the
     same id are documents of their own, and of rows that repeat both one stays. Null and empty texts, and texts without words, are no duplicates of anything: they stay."""
     key = F.struct(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull()).alias("hash")).alias("_row_key")
-    found = written(ngram_join.ngram_join(docs.select(key, "text"), 5, 80, id_col="_row_key"), "distinct").withColumnRenamed("doc_id", "_row_key")
+    found = ngram_join.ngram_join(docs.select(key, "text"), 5, 80, id_col="_row_key").withColumnRenamed("doc_id", "_row_key")
     others = found.where("_row_key != component_id").select("_row_key").distinct()
     repeated = found.where("_row_key = component_id and n_shingles > 0").groupBy("_row_key").agg(F.count("*").alias("n")).where("n > 1").select("_row_key")
     kept = docs.withColumn("_row_key", key).join(others, "_row_key", "left_anti")

@@ -33,8 +33,8 @@ from .textkernel import U, as_long, chunks, mix, shingle_hashes, tokenize
 BLOCK, PART, SPREAD, ROW = 1_000_000, 60_000, 16, 1000
 #: n-grams of a stretch in which common ones are looked for, the share of its texts that makes one common, and common ones at most.
 HELD, COMMON, KNOWN = 2_000_000, 0.001, 1_000_000
-#: Signatures that a task combines at once; rows of one foreign level that share a signature there, from which on they are linked at once.
-POSTS, MANY = 500_000, 8
+#: Postings that a task combines at once; rows of one foreign level that share a signature there, from which on they are linked at once; postings of a part.
+POSTS, MANY, PACK = 1_000_000, 8, 1_000_000
 _LEVELS = [6]
 while _LEVELS[-1] < 1 << 40:
     _LEVELS.append(_LEVELS[-1] * 6 // 5 + 1)
@@ -147,62 +147,75 @@ def common_ngrams(texts: DataFrame, words: int) -> np.ndarray:
     return np.sort(found.where(F.col("n") >= least).select("gram").toArrow().column(0).to_numpy().astype(np.int64).view(U))
 
 
-def _hubs(sig: np.ndarray, cls: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """sig, cls, far, hub: of the rows that share a signature here, the first (own level before others, then the smallest class) stays a posting, the others become links to it (far: -1).
-
-    Rows that share one of foreign levels only are left as they are, unless they are MANY. So a signature that is frequent in all tasks gives few rows of each.
-    """
+def _hubs(sig: np.ndarray, cls: np.ndarray, far: np.ndarray, foreign: int) -> tuple[np.ndarray, ...]:
+    """Links cls, hub of the rows that share a signature with its first row (own level before others, then the smallest class), where that has it at its own level or `foreign` rows share it; and which of the
+    given postings remain: the first ones, and those that no link was made of."""
     order = np.argsort(sig)
-    same = sig[order[1:]] == sig[order[:-1]]
+    same = np.flatnonzero(sig[order[1:]] == sig[order[:-1]])
     several = np.zeros(len(sig), bool)
-    several[order[np.flatnonzero(same)]] = several[order[np.flatnonzero(same) + 1]] = True
-    alone = [x[~several] for x in (sig, cls, far, cls)]
-    sig, cls, far = sig[several], cls[several], far[several]
-    if not len(sig):
-        return tuple(alone)
-    order = np.lexsort((cls, far, sig))
-    sig, cls, far = sig[order], cls[order], far[order]
-    first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-    n = np.diff(np.r_[first, len(sig)])
-    hub, head = np.repeat(cls[first], n), np.zeros(len(sig), bool)
+    several[order[same]] = several[order[same + 1]] = True
+    some = np.flatnonzero(several)
+    if not len(some):
+        return cls[:0], cls[:0], order
+    some = some[np.lexsort((cls[some], far[some], sig[some]))]
+    g = sig[some]
+    first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+    n = np.diff(np.r_[first, len(g)])
+    head = np.zeros(len(g), bool)
     head[first] = True
-    joined = ~head & np.repeat((far[first] == 0) | (n >= MANY), n)
-    far[joined] = -1
-    links = np.flatnonzero(joined & (cls != hub))
+    hub, joined = np.repeat(cls[some[first]], n), ~head & np.repeat((far[some[first]] == 0) | (n >= foreign), n)
+    stays = np.ones(len(sig), bool)
+    stays[some[joined]] = False
+    a, b = cls[some[joined]], hub[joined]
+    a, b = a[a != b], b[a != b]
     with np.errstate(over="ignore"):
-        _, once = np.unique(mix(cls[links] * U(3) + hub[links]), return_index=True)
-    keep = ~joined
-    keep[links[once]] = True
-    return tuple(np.concatenate([x, y[keep]]) for x, y in zip(alone, (sig, cls, far, hub), strict=True))
+        _, once = np.unique(mix(a * U(3) + b), return_index=True)
+    return a[once], b[once], order[stays[order]]
+
+
+PACKED = pa.schema([("part", pa.int32()), ("sig", pa.binary()), ("cls", pa.binary()), ("far", pa.binary()), ("hub", pa.binary())])
 
 
-def _signatures(words: int, percent: int, common):
-    """Postings (sig, cls, far: 0 if the level is the row's own, else 1) of each row, and links (cls, hub; far: -1) of rows that share a signature in the same task."""
+def _signatures(words: int, percent: int, common, parts: int):
+    """Postings of the rows (sig, cls, far: 0 if the level is the row's own, else 1), packed by the part of the signature; and links (cls, hub) of rows that share one in the same task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig, cls, far, size = [], [], [], 0
+        held, size = [], 0
 
         def out() -> pa.RecordBatch:
-            x = _hubs(np.concatenate(sig), np.concatenate(cls), np.concatenate(far))
-            link = x[2] < 0
-            # links are dealt out by their row, not by the signature they share
-            return pa.RecordBatch.from_arrays([as_long(np.where(link, x[1], x[0])), as_long(x[1]), pa.array(x[2]), pa.array(x[3].view(np.int64), mask=~link)], names=["sig", "cls", "far", "hub"])
+            sig, cls, far = (np.concatenate([x[i] for x in held]) for i in range(3))
+            a, b, left = _hubs(sig, cls, far, MANY)
+            sig, cls, far = sig[left], cls[left], far[left]
+            part = ((sig >> U(32)) * U(parts) >> U(32)).astype(np.int32)
+            cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, np.int64)
+            rows = [{"part": int(part[i]), "sig": sig[i:j].tobytes(), "cls": cls[i:j].tobytes(), "far": far[i:j].tobytes(), "hub": b""} for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            if len(a):
+                rows.append({"part": int(a[0] % U(parts)), "sig": b"", "cls": a.tobytes(), "far": b"", "hub": b.tobytes()})
+            return pa.RecordBatch.from_pylist(rows, PACKED)
 
         for h, c in _fresh(batches, words):
             for i, s in enumerate(signatures(h, percent, common.value)):
-                sig.append(s)
-                cls.append(np.full(len(s), c, U))
-                far.append(np.full(len(s), min(i, 1), np.int8))
+                held.append((s, np.full(len(s), c, U), np.full(len(s), min(i, 1), np.int8)))
                 size += len(s)
             if size > POSTS:
                 yield out()
-                sig, cls, far, size = [], [], [], 0
+                held, size = [], 0
         if size:
             yield out()
 
     return run
 
 
+def _links(t: pa.Table) -> pa.Table:
+    """Links of the rows that share a signature in a part, and those made before."""
+    get = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
+    done = np.array([len(x) > 0 for x in t.column("hub").to_pylist()])
+    a, b = (np.frombuffer(b"".join(t.column(c).filter(pa.array(done)).to_pylist()), U) for c in ("cls", "hub"))
+    t = t.filter(pa.array(~done))
+    x, y, _ = _hubs(get("sig", U), get("cls", U), get("far", np.int8), 1 << 62)
+    return pa.table({"cls": as_long(np.r_[a, x]), "hub": as_long(np.r_[b, y])})
+
+
 def _incidence(words: int):
     """Rows of the incidence matrix: the set of each fetched text as bytes; texts of another class that share an id fall away."""
 
@@ -298,11 +311,11 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     classes = written(classes.select("cls", F.col("known.doc_id").alias("rep"), F.coalesce("known.crc", "some").alias("crc"), "copies", "n"), "classes")
 
     common = docs.sparkSession.sparkContext.broadcast(common_ngrams(base.select("text"), words))
-    posts = base.select("text").mapInArrow(_signatures(words, percent, common), "sig long, cls long, far tinyint, hub long")
-    # a link keeps its own hub, in a window of its own: it stands alone or with postings that it leaves alone
-    earlier = Window.partitionBy("sig", F.col("far") < 0).orderBy("far", "cls").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    posts = posts.select("cls", F.coalesce("hub", F.first("cls").over(earlier)).alias("hub"), F.first("far").over(earlier).alias("far"))
-    near = posts.where("far <= 0 and cls != hub").groupBy("cls", "hub").agg(F.lit(1).alias("one"))
+    # postings of a row: about twice its ranges, or its n-grams if they are fewer; parts of PACK postings
+    ranges_of = F.lit(2.8 * 1.2 * (100 - percent) / (100 + percent)) * F.col("n") + 5
+    posts = classes.agg(F.sum(2 * F.least(F.col("n"), ranges_of))).first()[0] or 0
+    parts = max(24, int(posts) // PACK)
+    near = base.select("text").mapInArrow(_signatures(words, percent, common, parts), "part int, sig binary, cls binary, far binary, hub binary").groupBy("part").applyInArrow(_links, "cls long, hub long")
     groups = connected_components(near, "cls", "hub")
 
     members = groups.withColumnRenamed("node", "cls").join(classes, "cls").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)))
