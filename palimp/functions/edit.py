@@ -113,11 +113,11 @@ def matches_of(a: list, b: list) -> list[tuple[int, int]]:
     return out
 
 
-def script_of(a: list, b: list) -> list[tuple[str, int | None, int | None]]:
+def script_of(a: list, b: list, matches=matches_of) -> list[tuple[str, int | None, int | None]]:
     """(op, position in a, position in b): '=' both, '-' a only, '+' b only."""
     out: list[tuple[str, int | None, int | None]] = []
     i = j = 0
-    for p, q in [*matches_of(a, b), (len(a), len(b))]:
+    for p, q in [*matches(a, b), (len(a), len(b))]:
         out += [("-", x, None) for x in range(i, p)] + [("+", None, y) for y in range(j, q)]
         if p < len(a):
             out.append(("=", p, q))
@@ -186,6 +186,12 @@ def edit_script(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, _SCRIPT)
 
 
+@F.arrow_udf(SCRIPT)
+def region_script(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Of two arrays of lines between unique common lines: the shortest script, without looking for such lines again."""
+    return pa.array([[{"op": o, "old_no": i, "new_no": j} for o, i, j in script_of(x, y, shortest_matches)] for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], _SCRIPT)
+
+
 @F.arrow_udf(VALUES)
 def word_diff(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([None if x is None or y is None else value_script(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], _VALUES)

@@ -72,6 +72,17 @@ def language_by_content(c: Column) -> Column:
     return out
 
 
+def supported_extensions() -> list[tuple[str, str]]:
+    """Language and extension, in the order of the table."""
+    return [(k, x) for k, names in EXTENSIONS.items() for x in names.split()]
+
+
+def detection_details(name: Column, content: Column) -> Column:
+    """Extension, the languages by extension and by content, the one that is taken, and whether there is one."""
+    a, b = language_by_extension(name), language_by_content(content)
+    return F.struct(extension(name).alias("extension"), a.alias("extension_language"), b.alias("content_language"), F.coalesce(a, b).alias("final_language"), F.coalesce(a, b).isNotNull().alias("supported"))
+
+
 def detect_language(name: Column, content: Column) -> Column:
     return F.coalesce(language_by_extension(name), language_by_content(content))
 

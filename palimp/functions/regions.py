@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,13 +67,6 @@ def regions_of(line: str, language: str | None = None) -> list[dict]:
     return out
 
 
-def strip_comment_regions(line: str, language: str | None = None) -> str:
-    for r in reversed(regions_of(line, language)):
-        if r["type"] == "comment":
-            line = line[: r["start"]] + line[r["end"] :]
-    return line
-
-
 def nested_changes(a: str, b: str, language: str | None = None) -> list[dict]:
     """Regions of equal type, in order, that differ; one without a partner is removed or added whole."""
     out = []
@@ -85,6 +79,32 @@ def nested_changes(a: str, b: str, language: str | None = None) -> list[dict]:
     return out
 
 
+def with_code(found: Column, line: Column) -> Column:
+    """The regions of a line with the gaps between them as code, in order."""
+    n = F.size(found)
+
+    def gap(i: Column) -> Column:
+        a = F.when(i == 0, 0).otherwise(F.element_at(found, F.greatest(i, F.lit(1)))["end"])
+        b = F.when(i == n, F.length(line)).otherwise(F.element_at(found, F.least(i, n - 1) + 1)["start"])
+        return F.struct(F.lit("code").alias("type"), a.alias("start"), b.alias("end"), line.substr(a + 1, b - a).alias("content"))
+
+    def order(x: Column, y: Column) -> Column:
+        return x["start"] - y["start"]
+
+    gaps = F.when(n == 0, F.array(F.struct(F.lit("code").alias("type"), F.lit(0).alias("start"), F.length(line).alias("end"), line.alias("content")))).otherwise(F.transform(F.sequence(F.lit(0), n), gap))
+    return F.array_sort(F.concat(found, F.filter(gaps, lambda g: g["start"] < g["end"])), order)
+
+
+def region_type_at(found: Column, place: Column) -> Column:
+    """Type of the region that holds the position (from 0); code where none does."""
+    return F.coalesce(F.try_element_at(F.filter(found, lambda r: (r["start"] <= place) & (place < r["end"])), F.lit(1))["type"], F.lit("code"))
+
+
+def without_comments(found: Column, line: Column) -> Column:
+    """The line without its comment regions."""
+    return F.array_join(F.transform(F.filter(with_code(found, line), lambda r: r["type"] != "comment"), lambda r: r["content"]), "")
+
+
 REGIONS = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("content", T.StringType())]))
 _REGIONS = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("content", pa.string())]))
 NESTED = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("removed", T.StringType()), T.StructField("added", T.StringType()), T.StructField("word_diff", T.ArrayType(T.StructType([T.StructField("op", T.StringType()), T.StructField("value", T.StringType())])))]))

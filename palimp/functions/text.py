@@ -11,7 +11,10 @@ from pyspark.sql import types as T
 
 PAIRS = ("()", "[]", "{}", "<>")
 #: Delimiter pairs by language.
-LANGUAGE_PAIRS = {"python": PAIRS, "javascript": (*PAIRS, "${ }"), "html": ("<>", "<!-- -->"), "css": ("()", "[]", "{}"), "json": ("[]", "{}")}
+LANGUAGE_PAIRS = {
+    "python": (("(", ")"), ("[", "]"), ("{", "}"), ("<", ">")), "javascript": (("(", ")"), ("[", "]"), ("{", "}"), ("<", ">"), ("${", "}")),
+    "html": (("<", ">"), ("<!--", "-->")), "css": (("(", ")"), ("[", "]"), ("{", "}")), "json": (("[", "]"), ("{", "}")),
+}
 
 
 def trimmed(c: Column) -> Column:
@@ -63,7 +66,7 @@ def squeeze_html_comments(c: Column) -> Column:
 
 
 def _pairs_of(language: str | None) -> list[tuple[str, str]]:
-    return [tuple(p.split(" ")) if " " in p else (p[0], p[1]) for p in LANGUAGE_PAIRS.get((language or "").lower(), PAIRS)]
+    return list(LANGUAGE_PAIRS.get((language or "").lower(), LANGUAGE_PAIRS["python"]))
 
 
 def _escaped(text: str, at: int) -> bool:
@@ -174,10 +177,32 @@ def strip_comments(x: pa.Array) -> pa.Array:
 
 
 @F.arrow_udf(_ERRORS)
-def validate_delimiters(x: pa.Array) -> pa.Array:
-    return pa.array([delimiter_errors(t) for t in x.to_pylist()], _ERRORS_ARROW)
+def _errors(x: pa.Array, language: pa.Array) -> pa.Array:
+    return pa.array([delimiter_errors(t, k) for t, k in zip(x.to_pylist(), language.to_pylist(), strict=True)], _ERRORS_ARROW)
 
 
 @F.arrow_udf(T.StringType())
-def normalize_delimiters(x: pa.Array) -> pa.Array:
-    return pa.array([normalize_delimiters_text(t) for t in x.to_pylist()], pa.string())
+def _normalized(x: pa.Array, language: pa.Array) -> pa.Array:
+    return pa.array([normalize_delimiters_text(t, k) for t, k in zip(x.to_pylist(), language.to_pylist(), strict=True)], pa.string())
+
+
+def validate_delimiters(c: str | Column, language: str | Column | None = None) -> Column:
+    """Unexpected closers and unclosed openers of the pairs of a language (a name, or a column of names); empty if all are balanced."""
+    return _errors(c, language if isinstance(language, Column) else F.lit(language).cast("string"))
+
+
+def normalize_delimiters(c: str | Column, language: str | Column | None = None) -> Column:
+    """The full normalisation with the pairs of a language (a name, or a column of names)."""
+    return _normalized(c, language if isinstance(language, Column) else F.lit(language).cast("string"))
+
+
+def normalize_with_state(c: Column, language: str | Column | None = None) -> Column:
+    """The normalised text next to the original, which takes the place of a state for reversal."""
+    return F.struct(normalize_delimiters(c, language).alias("normalized"), c.alias("original"))
+
+
+def first_line_like(lines: Column, target: Column) -> Column:
+    """Number (from 0) of the first line that equals the trimmed target, holds it, or is held by it and less than 10 characters shorter; the last two for targets of more than 3 characters. -1 if there is none."""
+    t = trimmed(target)
+    fits = lambda v: (v == t) | ((F.length(t) > 3) & (F.contains(v, t) | (F.contains(t, v) & (F.abs(F.length(t) - F.length(v)) < 10))))
+    return F.array_position(F.transform(lines, lambda v: F.coalesce(fits(trimmed(v)), F.lit(False))), True) - 1

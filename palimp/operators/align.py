@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimp.functions.edit import edit_script, lis
+from palimp.functions.edit import edit_script, lis, region_script
 from palimp.functions.text import lines_of
 
 
@@ -41,6 +41,32 @@ def line_edits(pairs: DataFrame) -> DataFrame:
     return x.select("pair_id", "seq", "e.op", "e.old_no", "e.new_no", F.when(F.col("e.old_no").isNotNull(), F.expr("a[e.old_no]")).otherwise(F.expr("b[e.new_no]")).alias("line"))
 
 
+def two_pass_edits(old: DataFrame, new: DataFrame) -> DataFrame:
+    """pair_id, seq, op, old_no, new_no, line by two passes: the increasing unique common lines are unchanged; then each region between them gets an edit script of its own, a row each, so a large pair is many small tasks.
+
+    old, new: pair_id, line_no, line. The rows are those of line_edits.
+    """
+    same = increasing_anchors(unique_anchors(old, new))
+    count = lambda df, c: df.groupBy("pair_id").agg(F.count("*").cast("int").alias(c))
+    sizes = count(old, "n_old").join(count(new, "n_new"), "pair_id", "full").fillna(0, ["n_old", "n_new"])
+    regions = changed_regions(same, sizes)
+
+    def lines(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+        x = regions.where(f"{a} < {b}").select("pair_id", "old_start", "new_start", F.explode(F.sequence(F.col(a), F.col(b) - 1)).alias("line_no")).join(df, ["pair_id", "line_no"])
+        return x.groupBy("pair_id", "old_start", "new_start").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda v: v["line"]).alias(name))
+
+    r = lines(old, "old_start", "old_end", "a").join(lines(new, "new_start", "new_end", "b"), ["pair_id", "old_start", "new_start"], "full")
+    none = F.array().cast("array<string>")
+    r = r.select("pair_id", "old_start", "new_start", F.coalesce("a", none).alias("a"), F.coalesce("b", none).alias("b"))
+    r = r.withColumn("s", region_script("a", "b")).select("pair_id", "old_start", "new_start", "a", "b", F.posexplode("s").alias("k", "e"))
+    r = r.select("pair_id", F.col("old_start").alias("p"), F.col("new_start").alias("q"), F.lit(0).alias("anchor"), "k", "e.op", (F.col("e.old_no") + F.col("old_start")).alias("old_no"), (F.col("e.new_no") + F.col("new_start")).alias("new_no"), F.when(F.col("e.old_no").isNotNull(), F.expr("a[e.old_no]")).otherwise(F.expr("b[e.new_no]")).alias("line"))
+    a = same.join(old.withColumnRenamed("line_no", "old_no"), ["pair_id", "old_no"])
+    a = a.select("pair_id", F.col("old_no").alias("p"), F.col("new_no").alias("q"), F.lit(1).alias("anchor"), F.lit(0).alias("k"), F.lit("=").alias("op"), "old_no", "new_no", "line")
+    # of a region and an anchor at the same places, the region comes first
+    seq = F.row_number().over(Window.partitionBy("pair_id").orderBy("p", "q", "anchor", "k")) - 1
+    return r.unionByName(a).select("pair_id", seq.alias("seq"), "op", "old_no", "new_no", "line")
+
+
 def change_blocks(edits: DataFrame) -> DataFrame:
     """The changed rows with block_id: runs that no unchanged row divides."""
     w = Window.partitionBy("pair_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)

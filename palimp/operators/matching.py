@@ -9,8 +9,10 @@ from pyspark.sql import types as T
 
 from palimp.config import DEFAULT, Options
 from palimp.functions.signature import form_signature, signature_similarity
-from palimp.functions.similarity import EPSILON, SHORT, fast_line_similarity, word_similarity
+from palimp.functions.similarity import EPSILON, SHORT, fast_line_similarity, patience_similarity, word_similarity
+from palimp.functions.syntax import ast_similarity, full_similarity
 from palimp.functions.text import normal_form
+from palimp.functions.tokens import token_line_similarity
 
 
 def candidates(blocks: DataFrame, options: Options = DEFAULT, least: float = 0.0) -> DataFrame:
@@ -27,7 +29,13 @@ def candidates(blocks: DataFrame, options: Options = DEFAULT, least: float = 0.0
     x = a.join(b, ["pair_id", "block_id"]).withColumns({"sig_sim": signature_similarity(F.col("sa"), F.col("sb")), "may": may}).drop("sa", "sb", "na", "nb", "ka", "kb")
     equal, far = F.col("removed_line") == F.col("added_line"), F.col("sig_sim") < options.fast_threshold
     cheap = x.where(equal | far).drop("may").withColumn("sim", F.when(equal, 1.0).otherwise(0.5 * F.col("sig_sim")))
-    return cheap.unionByName(x.where(~equal & ~far & F.col("may")).drop("may").withColumn("sim", word_similarity("removed_line", "added_line")))
+    sim = word_similarity("removed_line", "added_line")
+    if options.use_tokens:
+        sim = options.token_weight * token_line_similarity("removed_line", "added_line") + (1 - options.token_weight) * sim
+    if options.language == "python":  # the language whose trees there are
+        sim = full_similarity(sim, ast_similarity("removed_line", "added_line"), options.ast_weight)
+    may = F.lit(True) if options.use_tokens or options.language == "python" else F.col("may")
+    return cheap.unionByName(x.where(~equal & ~far & may).drop("may").withColumn("sim", sim))
 
 
 @F.arrow_udf(T.ArrayType(T.IntegerType()))
@@ -53,6 +61,19 @@ def greedy_pairs(scored: DataFrame, threshold: float, keys: tuple[str, ...] = ("
     return x.select(*keys, F.expr("p[i].old_no").alias("old_no"), F.expr("p[i].new_no").alias("new_no"), F.expr("-p[i].far").alias("sim"))
 
 
+def patience_moves(rest: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """pair_id, from_no, to_no, similarity of removed lines that were added elsewhere: in the order of the removed lines, each takes the most similar added line that is still free, the first of equals. Only lines with equal
+    normal forms or with a word in common are compared, as others have no similarity."""
+    k = rest.withColumn("key", F.explode(F.array_distinct(F.concat(F.array(F.concat(F.lit("="), normal_form(F.col("line")))), F.split(normal_form(F.col("line")), r"\s+")))))
+    a, b = k.where("op = '-'").select("pair_id", "key", "old_no"), k.where("op = '+'").select("pair_id", "key", "new_no")
+    j = a.join(b, ["pair_id", "key"]).select("pair_id", "old_no", "new_no").distinct()
+    j = j.join(rest.where("op = '-'").select("pair_id", "old_no", F.col("line").alias("x")), ["pair_id", "old_no"]).join(rest.where("op = '+'").select("pair_id", "new_no", F.col("line").alias("y")), ["pair_id", "new_no"])
+    j = j.withColumn("sim", patience_similarity(F.col("x"), F.col("y"))).where(F.col("sim") >= threshold)
+    x = j.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("old_no", (-F.col("sim")).alias("far"), "new_no"))).alias("p"))
+    x = x.select("pair_id", "p", F.explode(_greedy("p.old_no", "p.new_no")).alias("i"))
+    return x.select("pair_id", F.expr("p[i].old_no").alias("from_no"), F.expr("p[i].new_no").alias("to_no"), F.expr("-p[i].far").alias("similarity"))
+
+
 def mutual_best(scored: DataFrame, threshold: float, keys: tuple[str, ...] = ("pair_id", "block_id")) -> DataFrame:
     """The first round of greedy pairing in windows: rows that are best for both of their lines."""
     by = lambda c: Window.partitionBy(*keys, c).orderBy(F.col("sim").desc(), "old_no", "new_no")

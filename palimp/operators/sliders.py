@@ -11,7 +11,9 @@ AMBIGUITY, MOST, CORRECTION, FRAME, LARGEST = 0.15, 50, 0.7, 5, 10_000
 #: Weights (brace, indent, comment, delimiter) by language.
 WEIGHTS = {"javascript": (0.3, 0.2, 0.2, 0.3), "typescript": (0.3, 0.2, 0.2, 0.3), "java": (0.25, 0.25, 0.2, 0.3), "c": (0.25, 0.25, 0.2, 0.3), "cpp": (0.25, 0.25, 0.2, 0.3), "python": (0.0, 0.5, 0.3, 0.2), "json": (0.4, 0.3, 0.1, 0.2), "yaml": (0.0, 0.6, 0.2, 0.2)}
 OTHER = (0.25, 0.25, 0.25, 0.25)
+#: What begins a comment, what looks like a signature, and the languages whose opening braces end a line.
 COMMENT, SIGNATURE = r"^(//|#|/\*|\*|<!--|--)", r"\b(function\s+\w+|class\s+\w+|if\s*\(|for\s*\(|while\s*\(|else\s*if)|\)\s*$"
+BRACES = ("javascript", "typescript", "java", "c", "cpp", "csharp")
 
 
 def indent(c: Column) -> Column:
@@ -72,25 +74,54 @@ def scores(rows: DataFrame, language: str | None = None, key: str = "pair_id", o
 
 
 def sliders(rows: DataFrame, language: str | None = None) -> DataFrame:
-    """Ambiguous modified rows: pair_id, seq, ambiguity, scores, recommendation, confidence; MOST of a pair, none of a pair with more than LARGEST rows. rows: pair_id, seq, classification, text."""
+    """Ambiguous modified rows: pair_id, seq, ambiguity, scores, recommendation, confidence, language, place (by confidence, then ambiguity, the highest first, then seq); the first MOST of a pair, none of a pair with more than
+    LARGEST rows. rows: pair_id, seq, classification, text."""
     s = scores(rows, language).withColumn("rows", F.count("*").over(Window.partitionBy("pair_id"))).where(F.col("rows") <= LARGEST).where("classification = 'modified'")
     cur, left, right = F.col("current_score"), F.col("left_score"), F.col("right_score")
     gap = F.abs(cur - F.greatest(left, right))
     to_left, to_right = (left > right) & (left - cur > 0.1), (right > left) & (right - cur > 0.1)
     s = s.where(gap <= AMBIGUITY).withColumn("n", F.row_number().over(Window.partitionBy("pair_id").orderBy("seq"))).where(F.col("n") <= MOST)
-    return s.select("pair_id", "seq", (1 - gap / AMBIGUITY).alias("ambiguity"), "current_score", "left_score", "right_score", F.when(to_left, "shift_left").when(to_right, "shift_right").otherwise("keep").alias("recommendation"), F.when(to_left, F.least((left - cur) * 2, F.lit(1.0))).when(to_right, F.least((right - cur) * 2, F.lit(1.0))).otherwise(0.0).alias("confidence"), F.lit(language).alias("language"))
+    s = s.select("pair_id", "seq", (1 - gap / AMBIGUITY).alias("ambiguity"), "current_score", "left_score", "right_score", F.when(to_left, "shift_left").when(to_right, "shift_right").otherwise("keep").alias("recommendation"), F.when(to_left, F.least((left - cur) * 2, F.lit(1.0))).when(to_right, F.least((right - cur) * 2, F.lit(1.0))).otherwise(0.0).alias("confidence"), F.lit(language).cast("string").alias("language"))
+    order = Window.partitionBy("pair_id").orderBy(F.round("confidence", 9).desc(), F.round("ambiguity", 9).desc(), "seq")
+    return s.withColumn("place", F.row_number().over(order))
 
 
 def slider_statistics(s: DataFrame) -> DataFrame:
+    """One row: total, numbers by bands of confidence and by recommendation, and a map of numbers by language."""
     c = F.col("confidence")
-    return s.agg(F.count("*").alias("total"), F.count_if(c >= 0.8).alias("high"), F.count_if((c >= 0.5) & (c < 0.8)).alias("medium"), F.count_if(c < 0.5).alias("low"), *(F.count_if(F.col("recommendation") == r).alias(r) for r in ("keep", "shift_left", "shift_right")))
-
-
-def correct_order(rows: DataFrame, s: DataFrame) -> DataFrame:
-    """rows with new_seq: neighbours swapped where a recommendation is sure enough and no row before it took part in a swap with one of the two."""
-    x = s.where((F.col("confidence") >= CORRECTION) & (F.col("recommendation") != "keep"))
-    x = x.select("pair_id", F.when(F.col("recommendation") == "shift_left", F.col("seq") - 1).otherwise(F.col("seq")).alias("a")).distinct()
-    w = Window.partitionBy("pair_id").orderBy("a")
-    x = x.withColumn("island", F.col("a") - F.row_number().over(w)).withColumn("k", F.row_number().over(Window.partitionBy("pair_id", "island").orderBy("a"))).where("k % 2 = 1")
-    swap = x.select("pair_id", F.col("a").alias("seq"), (F.col("a") + 1).alias("to")).union(x.select("pair_id", (F.col("a") + 1).alias("seq"), F.col("a").alias("to")))
-    return rows.join(swap, ["pair_id", "seq"], "left").withColumn("new_seq", F.coalesce("to", "seq")).drop("to")
+    parts = (F.count("*").alias("n"), F.count_if(c >= 0.8).alias("high"), F.count_if((c >= 0.5) & (c < 0.8)).alias("medium"), F.count_if(c < 0.5).alias("low"), *(F.count_if(F.col("recommendation") == r).alias(r) for r in ("keep", "shift_left", "shift_right")))
+    by = s.groupBy(F.coalesce("language", F.lit("unknown")).alias("language")).agg(*parts)
+    total = [F.coalesce(F.sum(c), F.lit(0)).alias("total" if c == "n" else c) for c in ("n", "high", "medium", "low", "keep", "shift_left", "shift_right")]
+    return by.agg(*total, F.map_from_entries(F.array_sort(F.collect_list(F.struct("language", "n")))).alias("languages"))
+
+
+def adjust_boundaries(c: Column, language: str | None) -> Column:
+    """In languages with braces, an opening brace that nothing closes goes to the end of its line; other lines stay."""
+    if language not in BRACES:
+        return c
+    moves = F.contains(c, F.lit("{")) & ~F.contains(c, F.lit("}")) & ~trimmed(c).endswith("{")
+    first = F.concat(F.regexp_extract(c, r"^([^{]*?)\s*\{", 1), F.regexp_extract(c, r"^[^{]*\{\s*([\s\S]*)$", 1))
+    return F.when(moves, F.concat(trimmed(first), F.lit(" {"))).otherwise(c)
+
+
+def correct_order(rows: DataFrame, s: DataFrame, threshold: float = CORRECTION, language: str | None = None) -> DataFrame:
+    """rows with new_seq and value: neighbours swap places where a slider is sure enough, the surest first, if both are modified and neither it nor a neighbour of it took part in a swap before. value: the text, of swapped rows with
+    adjusted boundaries. rows: pair_id, seq (from 1, without gaps), classification, text. A pair has MOST sliders at most, which one row holds."""
+    w = Window.partitionBy("pair_id").orderBy("seq")
+    is_modified = lambda c: F.coalesce(c == "modified", F.lit(False))
+    near = rows.select("pair_id", "seq", is_modified(F.lag("classification").over(w)).alias("on_left"), is_modified(F.lead("classification").over(w)).alias("on_right"))
+    left, right, cur = F.col("left_score"), F.col("right_score"), F.col("current_score")
+    x = s.where(F.col("confidence") >= threshold).join(near, ["pair_id", "seq"])
+    to = F.when((right > left) & (right > cur), 1).when((left > cur), -1).otherwise(0)
+    x = x.withColumn("to", to.cast("int")).where(((F.col("to") == 1) & F.col("on_right")) | ((F.col("to") == -1) & F.col("on_left")))
+    x = x.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("place", "seq", "to"))).alias("all"))
+    none = F.array().cast("array<struct<a:int,b:int>>")
+
+    def step(done: Column, v: Column) -> Column:
+        clash = F.exists(done, lambda d: (F.abs(d["a"] - v["seq"]) <= 1) | (F.abs(d["b"] - v["seq"]) <= 1))
+        return F.when(clash, done).otherwise(F.concat(done, F.array(F.struct(v["seq"].alias("a"), (v["seq"] + v["to"]).alias("b")))))
+
+    swaps = x.select("pair_id", F.explode(F.aggregate("all", none, step)).alias("x"))
+    swaps = swaps.select("pair_id", F.explode(F.array(F.struct(F.col("x.a").alias("seq"), F.col("x.b").alias("to")), F.struct(F.col("x.b").alias("seq"), F.col("x.a").alias("to")))).alias("x")).select("pair_id", "x.*")
+    out = rows.join(swaps, ["pair_id", "seq"], "left")
+    return out.withColumn("value", F.when(F.col("to").isNotNull(), adjust_boundaries(F.col("text"), language)).otherwise(F.col("text"))).withColumn("new_seq", F.coalesce("to", "seq")).drop("to")

@@ -107,12 +107,11 @@ def turn_pairs(spark, d):
     return src.turn_pairs(src.table(spark, d, "conversations"))
 
 
-@query(f"""WITH {DOC_LINES}, n AS (SELECT doc_id, count(*) AS n FROM dl GROUP BY 1), g AS (SELECT DISTINCT doc_id, line FROM dl WHERE length(line) > 20), r AS (SELECT line FROM g GROUP BY 1 HAVING count(*) BETWEEN 2 AND 50),
+@query(f"""WITH {DOC_LINES}, n AS (SELECT doc_id, count(*) AS n FROM dl GROUP BY 1), g AS (SELECT DISTINCT doc_id, line FROM dl WHERE length(line) > 20), r AS (SELECT line FROM g GROUP BY 1 HAVING count(*) >= 2),
   k AS (SELECT g.* FROM g JOIN r USING (line)), c AS (SELECT a.doc_id AS a_id, b.doc_id AS b_id, count(*) AS common FROM k a JOIN k b ON a.line = b.line AND a.doc_id < b.doc_id GROUP BY 1, 2)
 SELECT a_id, b_id, common FROM c JOIN n x ON x.doc_id = a_id JOIN n y ON y.doc_id = b_id WHERE common / greatest(x.n, y.n) >= 0.3""")
 def near_copy_pairs(spark, d):
-    # the limit of 50 is the SQL's; without it the source counts all lines
-    return src.near_copy_pairs(_docs(spark, d), hot=50)
+    return src.near_copy_pairs(_docs(spark, d))
 
 
 @query(f"WITH {EDITED} SELECT pair_id, line_no, line FROM nl")
@@ -157,22 +156,6 @@ def normalize_delims_simple(spark, d):
     return src.table(spark, d, "pages").select("page_id", txt.squeeze_delimiters(F.col("html")).alias("html"))
 
 
-@query()
-def normalize_delims(spark, d):
-    return src.table(spark, d, "pages").select("page_id", txt.normalize_delimiters("html").alias("html"))
-
-
-@query()
-def strip_comments(spark, d):
-    return src.table(spark, d, "pages").select("page_id", txt.strip_comments("html").alias("html"))
-
-
-@query()
-def delimiter_validation(spark, d):
-    x = src.table(spark, d, "pages").select("page_id", txt.validate_delimiters("html").alias("e"))
-    return x.select("page_id", (F.size("e") == 0).alias("balanced"), F.size("e").alias("errors"))
-
-
 # signatures and hashes
 
 
@@ -289,11 +272,6 @@ def word_similarity(spark, d):
     return _facing(spark, d).select("pair_id", "line_no", F.round(sim.word_similarity("old_line", "new_line"), 6).alias("similarity"))
 
 
-@query()
-def token_similarity(spark, d):
-    return _facing(spark, d).select("pair_id", "line_no", F.round(token_line_similarity("old_line", "new_line"), 6).alias("similarity"), token_lcs("old_line", "new_line").alias("lcs"))
-
-
 @query()
 def enhanced_similarity(spark, d):
     mixed = 0.7 * token_line_similarity("old_line", "new_line") + 0.3 * sim.word_similarity("old_line", "new_line")
@@ -375,11 +353,6 @@ def content_moves_3(spark, d):
     return align.content_windows(*_edited(spark, d), 3)
 
 
-@query()
-def content_moves(spark, d):
-    return late_moves.content_moves(*_edited(spark, d))
-
-
 @query()
 def node_moves(spark, d):
     pairs = src.edited_pairs(_docs(spark, d))
@@ -499,12 +472,6 @@ def tokens_reconstruct(spark, d):
     return _docs(spark, d).select("doc_id", F.array_join(tokens("text")["value"], "").alias("text"))
 
 
-@query()
-def line_regions(spark, d):
-    x = src.explode_lines(src.table(spark, d, "pages").select("page_id", F.col("html").alias("text")), "page_id", "text").withColumn("r", F.explode(regions("line", F.lit("html"))))
-    return x.select("page_id", "line_no", "r.type", "r.start", "r.end", "r.content")
-
-
 @query()
 def nested_region_diffs(spark, d):
     x = _facing(spark, d).withColumn("n", F.explode(nested_diffs("old_line", "new_line", F.lit("c"))))
@@ -521,12 +488,6 @@ def language_by_extension(spark, d):
     return src.table(spark, d, "pages").select("page_id", lang.language_by_extension(F.regexp_extract("url", r"/([^/?#]*)([?#].*)?$", 1)).alias("language"))
 
 
-@query()
-def language_by_content(spark, d):
-    a = src.table(spark, d, "pages").select("page_id", F.col("html").alias("text"))
-    return a.select("page_id", lang.language_by_content(F.col("text")).alias("language"))
-
-
 def _any_sql(c: str, patterns: list[str]) -> str:
     return " + ".join(f"CAST(regexp_matches({c}, '(?m){p}') AS INTEGER)" for p in patterns)
 
@@ -547,28 +508,6 @@ def slider_context(spark, d):
     return x.select("pair_id", "line_no", F.array_join("before", "\n").alias("before"), F.array_join("after", "\n").alias("after"))
 
 
-@query()
-def slider_scores(spark, d):
-    x = sliders.scores(_edited(spark, d)[1], None, "pair_id", "line_no", "line")
-    return x.select("pair_id", "line_no", *(F.round(c, 6).alias(c) for c in ("current_score", "left_score", "right_score")))
-
-
-def _slider_rows(spark, d):
-    rows = written(_full(spark, d).select("pair_id", "classification", F.coalesce("removed_line", "added_line").alias("text"), F.row_number().over(Window.partitionBy("pair_id").orderBy("seq")).alias("seq")), "rows")
-    return rows
-
-
-@query()
-def slider_statistics(spark, d):
-    return sliders.slider_statistics(sliders.sliders(_slider_rows(spark, d)))
-
-
-@query()
-def slider_corrections(spark, d):
-    rows = _slider_rows(spark, d)
-    return sliders.correct_order(rows, sliders.sliders(rows)).select("pair_id", "seq", "new_seq", "classification")
-
-
 @query(f"WITH {EDITED} SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.line_no, b.line_no) AS line_no, a.line AS old_line, b.line AS new_line FROM ol a FULL JOIN nl b ON a.pair_id = b.pair_id AND a.line_no = b.line_no")
 def side_by_side(spark, d):
     return export.side_by_side(*_edited(spark, d))

@@ -60,8 +60,8 @@ def test_delimiters():
 
 def test_tokens():
     assert [k for k, _ in tokens.tokenize_line("const x = 5; // c")] == ["keyword", "identifier", "operator", "number", "delimiter", "comment"]
-    assert tokens.compare_tokens("const x = 5;", "const y = 5;") > 0.7
-    assert tokens.compare_tokens("", "") == 1.0
+    assert tokens.compare_tokens("const x = 5;", "const y = 5;")["similarity"] > 0.7
+    assert tokens.compare_tokens("", "")["similarity"] == 1.0
 
 
 def test_regions():
