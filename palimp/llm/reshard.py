@@ -8,6 +8,8 @@ the flows that still lack bytes: their documents go, the largest first, to the f
 from __future__ import annotations
 
 import heapq
+import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -125,11 +127,12 @@ def text_crc(text: Column) -> Column:
 
 
 def lay_out(docs: DataFrame, shard: Column, shards: int, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes docs as shards of blocks; shard: number of each row's shard (null counts as 0). Columns named shard, old or blk must not occur in docs."""
+    """Writes docs as shards of blocks; shard: number of each row's shard (null counts as 0). Columns of docs that are named shard, old or blk get _of_document behind their names."""
     rows = docs.count()
+    docs = docs.withColumn("_shard", shard).withColumnsRenamed({c: f"{c}_of_document" for c in docs.columns if c.lower() in ("shard", "old", "blk")})
     per_shard = max(1, min(-(-rows // (shards * BLOCK_ROWS)), MAX_BLOCKS // shards))
     blk = F.pmod(F.xxhash64(F.col(id_col).cast("string"), text_crc(F.col(text_col))), F.lit(per_shard)).cast("int")
-    out = docs.withColumn("shard", F.coalesce(F.pmod(shard, F.lit(shards)), F.lit(0)).cast("int")).withColumn("old", F.col("shard")).withColumn("blk", blk)
+    out = docs.withColumn("shard", F.coalesce(F.pmod("_shard", F.lit(shards)), F.lit(0)).cast("int")).drop("_shard").withColumn("old", F.col("shard")).withColumn("blk", blk)
     out.repartition(max(1, shards * per_shard), "old", "blk").write.partitionBy("shard", "old", "blk").parquet(path)
 
 
@@ -150,21 +153,73 @@ def _split_rows(shares: dict[str, list[tuple[int, int]]]):
     return run
 
 
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    return hadoop, hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _plan_file(path: str) -> str:
+    return f"{path.rstrip('/')}-moves"
+
+
+def _read_plan(spark: SparkSession, path: str) -> dict | None:
+    hadoop, fs = _file_system(spark, path)
+    if not fs.exists(hadoop.Path(_plan_file(path))):
+        return None
+    return json.loads(spark.read.text(_plan_file(path), wholetext=True).first()[0])
+
+
+def _write_plan(spark: SparkSession, path: str, plan: dict) -> None:
+    """Whole or not at all: written under another name, then renamed."""
+    hadoop, fs = _file_system(spark, path)
+    name = hadoop.Path(_plan_file(path) + "-new")
+    out = fs.create(name, True)
+    out.write(bytearray(json.dumps(plan).encode()))
+    out.close()
+    fs.delete(hadoop.Path(_plan_file(path)), True)
+    if not fs.rename(name, hadoop.Path(_plan_file(path))):
+        raise OSError(f"{name} can't be renamed")
+
+
+def finish_moves(spark: SparkSession, path: str) -> bool:
+    """Carries out the moves that the layout's plan file lists, and removes the file; if there is one. Each step can be repeated, so a driver that was lost in between is followed by another that calls this (reshard does)."""
+    plan = _read_plan(spark, path)
+    if plan is None:
+        return False
+    hadoop, fs = _file_system(spark, path)
+
+    def move(step: tuple[str, str, bool]) -> None:
+        a, b, replaces = step
+        source, target = hadoop.Path(a), hadoop.Path(b)
+        if fs.exists(source):  # else it was moved before
+            if replaces:
+                fs.delete(target, True)
+            fs.mkdirs(target.getParent())
+            if not fs.rename(source, target):
+                raise OSError(f"{a} can't be renamed to {b}")
+
+    with ThreadPoolExecutor(16) as pool:
+        # the rows of a split block are all in the new pieces before it goes
+        list(pool.map(lambda p: fs.delete(hadoop.Path(p), True), plan["gone"]))
+        list(pool.map(move, ((a, b, False) for a, b in plan["whole"])))
+        list(pool.map(move, ((a, b, True) for a, b in plan["pieces"])))
+    if plan["aside"]:
+        drop_path(spark, plan["aside"])
+    fs.delete(hadoop.Path(_plan_file(path)), True)
+    return True
+
+
 def reshard(spark: SparkSession, path: str, old: int, new: int, id_col: str = "doc_id", text_col: str = "text") -> Plan:
-    """Changes a layout of `old` shards into one of `new` shards with near equal bytes (text_size), in place; returns what it did."""
+    """Changes a layout of `old` shards into one of `new` shards with near equal bytes (text_size), in place; returns what it did.
+
+    Split blocks are first written anew in a folder aside; then a plan file lists all moves; then they are made. A run that was lost while it moved is finished first; one lost before has changed nothing.
+    """
+    finish_moves(spark, path)
     df = spark.read.parquet(path)
     sizes = df.groupBy("old", "blk").agg(F.sum(text_size(F.col(text_col))).alias("size")).collect()
     plan = plan_blocks({(r["old"], r["blk"]): r["size"] for r in sizes}, old, new)
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def move(a: str, b: str) -> None:
-        target = jvm.org.apache.hadoop.fs.Path(b)
-        fs.mkdirs(target.getParent())
-        if not fs.rename(jvm.org.apache.hadoop.fs.Path(a), target):
-            raise OSError(f"{a} can't be renamed to {b}")
-
+    folder = lambda shard, i, b, root=path: f"{root}/shard={shard}/old={i}/blk={b}"
+    gone, pieces, aside = [], [], ""
     if plan.split:
         names = [f"{i}-{b}" for i, b in plan.split]
         part = df.where(F.concat(F.col("old"), F.lit("-"), F.col("blk")).isin(names))
@@ -178,16 +233,11 @@ def reshard(spark: SparkSession, path: str, old: int, new: int, id_col: str = "d
         moved = moved.withColumn("shard", F.col("to")).drop("o2", "b2", "k2", "to", "palimp_key")
         aside = fresh_dir(spark, "moved")
         moved.repartition(max(1, len(names)), "old", "blk").write.partitionBy("shard", "old", "blk").parquet(aside)
-        for (i, b), x in plan.split.items():
-            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/shard={i}/old={i}/blk={b}"), True)
-            for j, _ in x:
-                a = f"{aside}/shard={j}/old={i}/blk={b}"
-                if fs.exists(jvm.org.apache.hadoop.fs.Path(a)):
-                    move(a, f"{path}/shard={j}/old={i}/blk={b}")
-        drop_path(spark, aside)
-    for (i, b), j in plan.whole.items():
-        if i != j:
-            move(f"{path}/shard={i}/old={i}/blk={b}", f"{path}/shard={j}/old={i}/blk={b}")
+        gone = [folder(i, i, b) for i, b in plan.split if i not in {j for j, _ in plan.split[i, b]}]
+        pieces = [(folder(j, i, b, aside), folder(j, i, b)) for (i, b), x in plan.split.items() for j, _ in x]
+    whole = [(folder(i, i, b), folder(j, i, b)) for (i, b), j in plan.whole.items() if i != j]
+    _write_plan(spark, path, {"aside": aside, "gone": gone, "whole": whole, "pieces": pieces})
+    finish_moves(spark, path)
     return plan
 
 
