@@ -111,19 +111,23 @@ _LEVEL_SQL = """
      {name}_p AS (SELECT k, (x + (1 - rho) / rho * q) / (n + (1 - rho) / rho) AS mean, n + (1 - rho) / rho AS weight FROM {name}_q, {name}_r)"""
 _RULE_SQL = " ".join(f"WHEN (host = '{r[: r.index('/')]}' OR suffix(host, '.{r[: r.index('/')]}')) AND prefix(path, '{r[r.index('/') :]}') THEN '{r}'" for r in sorted(RULES, key=lambda r: (-len(r), r)))
 _VERDICT_SQL = " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in RULES.items())
+_SUFFIX_SQL = ", ".join(f"'{x}'" for x in url_reputation.SUFFIXES)
 OP9_SQL = f"""
 WITH a AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
                   coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
      o AS (SELECT host, l.quality AS good FROM a JOIN labels l ON l.doc_id = try_cast(nullif(regexp_extract(path, '^/[a-z]+/([0-9]+)', 1), '') AS BIGINT) WHERE l.quality IS NOT NULL),
-     h AS (SELECT host, CASE WHEN len(string_split(host, '.')) < 2 THEN host ELSE string_split(host, '.')[-2] || '.' || string_split(host, '.')[-1] END AS domain,
-                  string_split(host, '.')[-1] AS suf, CAST(count(*) AS DOUBLE) AS n, CAST(sum(good) AS DOUBLE) AS x FROM o GROUP BY host),
+     hn AS (SELECT host, regexp_replace(regexp_replace(host, '^.*@|:[0-9]*$', '', 'g'), '[.]+$', '') AS name FROM (SELECT host FROM a UNION SELECT host FROM o)),
+     hl AS (SELECT host, name, string_split(name, '.') AS l, regexp_matches(name, '^([0-9]+([.][0-9]+){{3}}|[[].*[]])$') AS ip FROM hn),
+     hd AS (SELECT host, CASE WHEN ip THEN name WHEN array_to_string(l[-2:], '.') IN ({_SUFFIX_SQL}) THEN array_to_string(l[-2:], '.') ELSE l[-1] END AS suf,
+                   CASE WHEN ip THEN name WHEN array_to_string(l[-2:], '.') IN ({_SUFFIX_SQL}) THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS domain FROM hl),
+     h AS (SELECT host, domain, suf, CAST(count(*) AS DOUBLE) AS n, CAST(sum(good) AS DOUBLE) AS x FROM o JOIN hd USING (host) GROUP BY host, domain, suf),
      g AS (SELECT (coalesce(sum(x), 0) + 1) / (coalesce(sum(n), 0) + 2) AS q, coalesce(sum(n), 0) + 2 AS w FROM h),
      s_q AS (SELECT suf AS k, sum(n) AS n, sum(x) AS x, (SELECT q FROM g) AS q FROM h GROUP BY suf),{_LEVEL_SQL.format(name="s", low=0.001)},
      d_q AS (SELECT domain AS k, sum(n) AS n, sum(x) AS x, mean AS q FROM h JOIN s_p ON s_p.k = h.suf GROUP BY domain, mean),{_LEVEL_SQL.format(name="d", low=0.001)},
      h_q AS (SELECT host AS k, n, x, mean AS q FROM h JOIN d_p ON d_p.k = h.domain),{_LEVEL_SQL.format(name="h", low=0.001)},
      b AS (SELECT page_id, host, path, CASE {_RULE_SQL} END AS rule,
                   coalesce(h_p.mean, d_p.mean, s_p.mean, (SELECT q FROM g)) AS mean, coalesce(h_p.weight, d_p.weight, s_p.weight, (SELECT w FROM g)) AS weight
-           FROM a LEFT JOIN h_p ON h_p.k = host LEFT JOIN d_p ON d_p.k = (CASE WHEN len(string_split(host, '.')) < 2 THEN host ELSE string_split(host, '.')[-2] || '.' || string_split(host, '.')[-1] END) LEFT JOIN s_p ON s_p.k = string_split(host, '.')[-1])
+           FROM a JOIN hd USING (host) LEFT JOIN h_p ON h_p.k = host LEFT JOIN d_p ON d_p.k = domain LEFT JOIN s_p ON s_p.k = suf)
 SELECT page_id, host, path, rule, coalesce(CASE rule {_VERDICT_SQL} END, CASE WHEN mean - 1.645 * sqrt(mean * (1 - mean) / (weight + 1)) >= 0.5 THEN 'allow' ELSE 'block' END) AS verdict FROM b
 """
 

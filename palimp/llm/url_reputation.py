@@ -16,6 +16,11 @@ from .shared import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+#: Public suffixes of two labels below which names are registered.
+SUFFIXES = (
+    "ac.jp", "ac.nz", "ac.uk", "asn.au", "co.id", "co.il", "co.in", "co.jp", "co.ke", "co.kr", "co.nz", "co.th", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.co", "com.eg", "com.hk", "com.mx", "com.my",
+    "com.ng", "com.pe", "com.ph", "com.pk", "com.pl", "com.sa", "com.sg", "com.tr", "com.tw", "com.ua", "com.vn", "edu.au", "edu.cn", "gov.au", "gov.uk", "go.jp", "ne.jp", "net.au", "net.br", "or.jp", "org.au", "org.br", "org.uk",
+)
 #: Smallest and largest intra-group correlation.
 RHO = 0.001, 0.999
 
@@ -29,14 +34,25 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, URL, 2), F.lit(""))
 
 
-def suffix_of(host: Column) -> Column:
-    """The last label."""
-    return F.substring_index(host, ".", -1)
+def name_of(host: Column) -> Column:
+    """The host without user, port and dots at its end; the method's own view, rules and results have the host itself."""
+    return F.regexp_replace(F.regexp_replace(host, r"^.*@|:[0-9]*$", ""), r"\.+$", "")
 
 
-def domain_of(host: Column) -> Column:
+def is_address(name: Column) -> Column:
+    return name.rlike(r"^([0-9]+(\.[0-9]+){3}|\[.*\])$")
+
+
+def suffix_of(name: Column) -> Column:
+    """The last two labels where they are one of SUFFIXES, else the last; an address is its own."""
+    two = F.substring_index(name, ".", -2)
+    return F.when(is_address(name), name).when(two.isin(*SUFFIXES), two).otherwise(F.substring_index(name, ".", -1))
+
+
+def domain_of(name: Column) -> Column:
     """The label before the suffix, and the suffix."""
-    return F.substring_index(host, ".", -2)
+    two = F.substring_index(name, ".", -2)
+    return F.when(is_address(name), name).when(two.isin(*SUFFIXES), F.substring_index(name, ".", -3)).otherwise(two)
 
 
 def rule_column(host: Column, path: Column, rules: dict[str, str]) -> Column:
@@ -63,13 +79,13 @@ def _level(stats: DataFrame, parents: DataFrame | None, key: str, parent: str |
 
 def host_posteriors(hosts: DataFrame, outcomes: DataFrame) -> DataFrame:
     """host, mean and weight of the beta posterior of every host of `hosts` (host); outcomes: host, n, x (labelled pages and good ones)."""
-    outcomes = written(outcomes.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))), "outcomes")
+    outcomes = written(outcomes.withColumn("domain", domain_of(name_of(F.col("host")))).withColumn("suffix", suffix_of(name_of(F.col("host")))), "outcomes")
     total = outcomes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("x"), F.lit(0)).alias("x")).first()
     top, weight = (total["x"] + 1) / (total["n"] + 2), float(total["n"] + 2)
     suffixes = _level(outcomes.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("x").alias("x")), None, "suffix", None, top)
     domains = _level(outcomes.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("x").alias("x")), suffixes, "domain", "suffix", top)
     own = _level(outcomes.select("host", "domain", "n", "x"), domains, "host", "domain", top)
-    out = hosts.select("host").distinct().withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    out = hosts.select("host").distinct().withColumn("domain", domain_of(name_of(F.col("host")))).withColumn("suffix", suffix_of(name_of(F.col("host"))))
     for name, level in (("host", own), ("domain", domains), ("suffix", suffixes)):
         out = out.join(level.select(F.col("key").alias(name), F.struct("mean", "weight").alias(f"{name}_post")), name, "left")
     best = F.coalesce("host_post", "domain_post", "suffix_post", F.struct(F.lit(top).alias("mean"), F.lit(weight).alias("weight")))

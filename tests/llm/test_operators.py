@@ -279,6 +279,56 @@ def test_urls(spark):
     assert (got[6]["verdict"], got[7]["verdict"]) == ("allow", "block")
 
 
+def test_registered_domains(spark):
+    names = {"user:pw@www.Shop.co.uk:8080": ("shop.co.uk", "co.uk"), "a.b.example.org.": ("example.org", "org"), "10.0.0.1:80": ("10.0.0.1", "10.0.0.1"), "[::1]": ("[::1]", "[::1]"), "localhost": ("localhost", "localhost"), "co.uk": ("co.uk", "co.uk"), "": ("", "")}
+    host = F.lower(F.col("h"))
+    got = spark.createDataFrame([(k,) for k in names], "h string").select("h", url_reputation.domain_of(url_reputation.name_of(host)).alias("d"), url_reputation.suffix_of(url_reputation.name_of(host)).alias("s")).collect()
+    assert {r["h"]: (r["d"], r["s"]) for r in got} == names
+
+
+def test_ties_at_the_last_rank(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(40)] + [(100 + i, [100000.0, 0.0]) for i in range(3)] + [(None, [9.0, 9.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for c in ("bid", "n", "block", "score", "rank", "id", "q", "norm"):
+        d = d.withColumn(c, F.lit("clash"))
+    got = topk.top_k(d, "vec_id % 20 = 0", 5).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
+        by.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert by == {0: [100, 101, 102, 1, 2], 20: [100, 101, 102, 0, 1], 100: [101, 102, 0, 1, 2]}
+
+
+def test_warc_of_nothing_and_of_clashing_columns(spark):
+    schema = "page_id long, url string, html string"
+    assert warc.round_trip(empty(spark, schema)).count() == 0
+    d = spark.createDataFrame([(1, "u", "x" * 200), (2, "u", "x" * 200)], schema)
+    for c in ("digest", "large", "same", "first", "revisit", "n"):
+        d = d.withColumn(c, F.lit("clash"))
+    assert sorted(tuple(r)[3:] for r in warc.round_trip(d).collect()) == [("response", None), ("revisit", 1)]
+    manifest = warc.write_warc(d, warc.fresh_dir(spark, "warc-test"))
+    folder = manifest.first()["path"].rsplit("/", 1)[0]
+    full = warc.read_warc(warc.list_files(spark, folder), split=50).collect()
+    assert sorted((r["type"], r["payload"], r["intact"]) for r in full) == [("response", bytearray(b"x" * 200), True), ("revisit", None, True)]
+    assert warc.read_warc(warc.list_files(spark, folder), split=50).rdd.getNumPartitions() >= 3
+
+
+def test_urls_of_nothing_and_of_clashing_columns(spark):
+    good = spark.createDataFrame([], "host string, good int")
+    assert url_reputation.judge_urls(empty(spark, "page_id long, url string"), good, {}).count() == 0
+    d = spark.createDataFrame([(1, "http://a.b/c")], "page_id long, url string")
+    for c in ("host", "path", "rule", "verdict", "mean", "weight", "domain", "suffix"):
+        d = d.withColumn(c, F.lit("clash"))
+    r = url_reputation.judge_urls(d, good, {}).first()
+    assert (r["host"], r["path"], r["rule"]) == ("a.b", "/c", None)
+
+
+def test_bpe_of_nothing_and_of_clashing_columns(spark):
+    assert bpe.encode_digest(empty(spark), tokenizer_path()).count() == 0
+    d = spark.createDataFrame([(1, "text"), (1, "text"), (None, None)], SCHEMA).withColumn("n_tokens", F.lit("clash")).withColumn("ids_sha256", F.lit("clash"))
+    got = bpe.encode_digest(d, tokenizer_path()).collect()
+    assert len(got) == 3 and sorted(r["n_tokens"] for r in got)[0] == 0
+
+
 def test_bpe(spark, docs):
     from tokenizers import Tokenizer
 
