@@ -1,4 +1,7 @@
-"""The corpus pipeline: quality, toxicity, near duplicates, decontamination, tokens. Each stage works on all rows its predecessor kept."""
+"""The corpus pipeline: quality, toxicity, near duplicates, decontamination, tokens. Each stage works on all rows its predecessor kept.
+
+All stages but the last return the columns of their input, whatever else these are named, and read doc_id and text alone. Ids may be null or repeat; an empty table gives an empty one; texts of any length are taken whole.
+"""
 
 from __future__ import annotations
 
@@ -12,13 +15,13 @@ from palimp.llm.shared import table, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts. It learns from the labels that op5 learns from."""
+    """Documents with a quality score of 1/2 or more. It learns from the labels that op5 learns from. Null and empty texts have the score of one empty line; equal texts have equal scores, so repeated rows stay or go together."""
     model = quality.learn_quality(docs, table(spark, sf_dir, "labels"), crc_of_id(F.col("doc_id")) % 4 != 2)
     return quality.keep_scored(docs, model, lambda s: s >= 0.5)
 
 
 def keep_harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't toxic."""
+    """Documents whose toxicity score is below ACCEPT; a score equal to it is toxic. Null and empty texts, and texts without a word, aren't toxic; repeated rows stay or go together."""
     model = toxicity.learn_toxicity(docs, table(spark, sf_dir, "labels"), crc_of_id(F.col("doc_id")) % 3 != 1)
     return quality.keep_scored(docs, model, lambda s: s < toxicity.ACCEPT)
 
@@ -37,12 +40,12 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
+    """Documents without a benchmark item, as find_leaks defines it. Null and empty texts stay, null and empty items match nothing; repeated rows stay or go together."""
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and of the text decoded from them."""
+    """Token counts and digests of ids and of the text decoded from them, a row for each row. Null texts are empty ones, with no token."""
     return bpe.encode_digest(docs, tokenizer_path())
 
 

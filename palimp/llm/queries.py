@@ -88,6 +88,20 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_benchmark_decontamination, op2_pitman_yor_lm, op3_ngram_jaccard_join, op4_flow_resharding, op5_line_crf_quality, op6_norm_bucket_topk, op7_warc_round_trip, op8_crf_toxicity, op9_host_reputation, op10_prefix_dp_bpe, pipeline)}
 
+# classes of equal shingle sets, overlaps by a join on shingles, and the smallest id that recursion reaches over links
+OP3_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     s AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - {NGRAM_WORDS - 1}, least(len(w), 1)) + 1), lambda i: array_to_string(w[i : i + {NGRAM_WORDS - 1}], ' ')))) AS s FROM w),
+     d AS (SELECT doc_id, len(s) AS n, md5(array_to_string(s, chr(10))) AS cls, s FROM s),
+     c AS MATERIALIZED (SELECT cls, any_value(n) AS n, any_value(s) AS s, count(*) AS copies, min(doc_id) AS low FROM d WHERE n > 0 GROUP BY cls),
+     g AS MATERIALIZED (SELECT cls, n, unnest(s) AS g FROM c),
+     o AS (SELECT a.cls AS a, b.cls AS b FROM g a JOIN g b ON a.g = b.g AND a.cls <> b.cls AND a.n * 100 >= b.n * {NGRAM_PERCENT} AND b.n * 100 >= a.n * {NGRAM_PERCENT} GROUP BY a.cls, b.cls, a.n, b.n HAVING 100 * count(*) >= {NGRAM_PERCENT} * (a.n + b.n - count(*))),
+     r(cls, root) AS (SELECT cls, cls FROM c UNION SELECT o.b, r.root FROM r JOIN o ON o.a = r.cls),
+     k AS (SELECT root AS cls, min(low) AS component_id FROM r JOIN c USING (cls) GROUP BY root),
+     l AS (SELECT a AS cls, sum(copies) AS links FROM o JOIN c ON c.cls = o.b GROUP BY a)
+SELECT doc_id, d.n AS n_shingles, coalesce(component_id, doc_id) AS component_id, CAST(coalesce(links, 0) + coalesce(copies, 1) - 1 AS BIGINT) AS n_links FROM d LEFT JOIN k USING (cls) LEFT JOIN l USING (cls) LEFT JOIN c USING (cls)
+"""
+
 OP6_SQL = """
 WITH w AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
      bad AS (SELECT vec_id FROM w WHERE x IS NULL OR NOT isfinite(x)),
@@ -131,4 +145,4 @@ WITH a AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([
 SELECT page_id, host, path, rule, coalesce(CASE rule {_VERDICT_SQL} END, CASE WHEN mean - 1.645 * sqrt(mean * (1 - mean) / (weight + 1)) >= 0.5 THEN 'allow' ELSE 'block' END) AS verdict FROM b
 """
 
-ORACLES: dict[str, str] = {"op6_norm_bucket_topk": OP6_SQL, "op7_warc_round_trip": OP7_SQL, "op9_host_reputation": OP9_SQL}
+ORACLES: dict[str, str] = {"op3_ngram_jaccard_join": OP3_SQL, "op6_norm_bucket_topk": OP6_SQL, "op7_warc_round_trip": OP7_SQL, "op9_host_reputation": OP9_SQL}
