@@ -15,8 +15,6 @@ class Options:
     fast_mode: bool = True
     detect_moves: bool = True
     two_pass_threshold: int = 100
-    min_unchanged: float = 0.05
-    min_position_shift: int = 2
     max_block: int = 100
     max_blocks: int = 100
     token_weight: float = 0.7
@@ -24,6 +22,7 @@ class Options:
     ast_weight: float = 0.6
     max_lines_for_ast: int = 1000
     normalize_delimiters: bool = False
+    late_moves: bool = False
     language: str | None = None
 
 

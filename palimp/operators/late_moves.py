@@ -91,6 +91,18 @@ def node_moves(old: DataFrame, new: DataFrame, threshold: float = NODE_THRESHOLD
     return same.unionByName(best.select("pair_id", "type", "old_start", "old_end", "new_start", "new_end", F.col("sim").alias("similarity"), F.lit("moved-modified").alias("kind")))
 
 
+def as_ranges(moves: DataFrame) -> DataFrame:
+    """Moves of content as ranges of lines: pair_id, old_start, old_end, new_start, new_end, kind."""
+    return moves.select("pair_id", F.col("start_old").alias("old_start"), (F.col("start_old") + F.col("size") - 1).alias("old_end"), F.col("start_new").alias("new_start"), (F.col("start_new") + F.col("size") - 1).alias("new_end"), F.lit("moved").alias("kind"))
+
+
+def late_moves(pairs: DataFrame) -> DataFrame:
+    """Moves of content and of syntax nodes of pairs (pair_id, old_text, new_text), as ranges of lines."""
+    lines = lambda c: pairs.select("pair_id", F.posexplode(lines_of(F.coalesce(c, F.lit("")))).alias("line_no", "line"))
+    nodes = node_moves(text_nodes(pairs, text_col="old_text"), text_nodes(pairs, text_col="new_text"))
+    return as_ranges(content_moves(lines("old_text"), lines("new_text"))).unionByName(nodes.select("pair_id", "old_start", "old_end", "new_start", "new_end", "kind"))
+
+
 def apply_moves(rows: DataFrame, moves: DataFrame) -> DataFrame:
     """Classified rows in which removed and added lines inside moves (pair_id, old_start, old_end, new_start, new_end, kind) have the kind of the move; moved comes before moved-modified."""
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from palimp.config import DEFAULT, Options
 from palimp.functions.edit import char_diff, word_diff
-from palimp.functions.text import normalize_delimiters
-from palimp.operators.align import change_blocks, line_edits
+from palimp.functions.text import lines_of, normalize_delimiters
+from palimp.operators.align import change_blocks, line_edits, two_pass_edits
+from palimp.operators.compact import compare_pairs
+from palimp.operators.late_moves import apply_moves, late_moves
 from palimp.storage import written
 from palimp.operators.matching import block_moves, candidates, exact_moves, greedy_pairs, similar_moves, unpaired
 
@@ -75,15 +77,24 @@ def classify(edits: DataFrame, options: Options = DEFAULT) -> DataFrame:
     return _rows(both.unionByName(single), edits)
 
 
+def _edits(pairs: DataFrame, options: Options) -> DataFrame:
+    """Edit rows: of pairs with more lines than the threshold in two passes, a task for each region; of the others in one."""
+    n = sum(F.size(lines_of(F.coalesce(c, F.lit("")))) for c in ("old_text", "new_text"))
+    large, small = pairs.where(n > options.two_pass_threshold), pairs.where(n <= options.two_pass_threshold)
+    lines = lambda c: large.select("pair_id", F.posexplode(lines_of(F.coalesce(c, F.lit("")))).alias("line_no", "line"))
+    return line_edits(small).unionByName(two_pass_edits(lines("old_text"), lines("new_text")))
+
+
 def compare(pairs: DataFrame, options: Options = DEFAULT, scripts: bool = False) -> DataFrame:
-    """Classified rows of pairs (pair_id, old_text, new_text). Pairs beyond the limits take the degraded plan. scripts: also word_diff and char_diff of modified rows."""
+    """Classified rows of pairs (pair_id, old_text, new_text). Pairs beyond the limits take the degraded mode. scripts: also word_diff and char_diff of modified rows.
+
+    With a degraded mode, which bounds the work on a pair, pairs are compared one by one in their tasks, without a shuffle. Without one (fast_mode is off), they are compared as tables of lines, which large pairs are spread over.
+    """
     if options.normalize_delimiters:
-        pairs = pairs.withColumn("old_text", normalize_delimiters("old_text")).withColumn("new_text", normalize_delimiters("new_text"))
-    edits = written(line_edits(pairs), "edits")
-    route = complexity(edits, options).select("pair_id", "route")
-    e = written(edits.join(route, "pair_id"), "routed")
-    full, fast = e.where("route != 'fast'").drop("route"), e.where("route = 'fast'").drop("route")
-    out = classify(full, options).unionByName(classify_fast(fast))
+        pairs = pairs.withColumn("old_text", normalize_delimiters("old_text", options.language)).withColumn("new_text", normalize_delimiters("new_text", options.language))
+    out = compare_pairs(pairs, options) if options.fast_mode else classify(written(_edits(pairs, options), "edits"), options)
+    if options.late_moves:
+        out = apply_moves(out, late_moves(pairs))
     if scripts:
         m = out.where("classification = 'modified'").withColumn("word_diff", word_diff("removed_line", "added_line")).withColumn("char_diff", char_diff("removed_line", "added_line"))
         out = m.unionByName(out.where("classification != 'modified'"), allowMissingColumns=True)

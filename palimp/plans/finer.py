@@ -351,10 +351,10 @@ def greedy_length_pairs(spark, d):
     return _length_pairs(spark, d)[1].withColumn("sim", F.round("sim", 6))
 
 
-@query(f"WITH RECURSIVE {_LENGTHS} SELECT pair_id, block_id, op, old_no, new_no, line FROM pb WHERE NOT EXISTS (SELECT 1 FROM gg WHERE gg.pair_id = pb.pair_id AND (gg.x = pb.old_no OR gg.y = pb.new_no))")
+@query(f"WITH RECURSIVE {_LENGTHS} SELECT pair_id, block_id, op, coalesce(old_no, new_no) AS line_no, line FROM pb WHERE NOT EXISTS (SELECT 1 FROM gg WHERE gg.pair_id = pb.pair_id AND (gg.x = pb.old_no OR gg.y = pb.new_no))")
 def unpaired_lines(spark, d):
     b, pairs = _length_pairs(spark, d)
-    return matching.unpaired(b, pairs).select("pair_id", "block_id", "op", "old_no", "new_no", "line")
+    return matching.unpaired(b, pairs).select("pair_id", "block_id", "op", F.coalesce("old_no", "new_no").alias("line_no"), "line")
 
 
 _FAST_SIM = f"""{POSITIONAL}, lm AS MATERIALIZED (SELECT pair_id, block_id, op, coalesce(old_no, new_no) AS no, lower({TRIM.format('line')}) AS p, list_filter(regexp_split_to_array(lower({TRIM.format('line')}), '\\s+'), lambda w: w <> '') AS ws FROM pb WHERE {TRIM.format('line')} <> ''),
@@ -392,19 +392,33 @@ def positional_block_moves(spark, d):
     return matching.block_moves(align.change_blocks(_positional(spark, d)))
 
 
-@query(f"""WITH RECURSIVE {EDITED}, cl AS (SELECT pair_id, line_no, {TRIM.format('line')} AS t, 0 AS s FROM ol UNION ALL SELECT pair_id, line_no, {TRIM.format('line')}, 1 FROM nl),
+_CONTENT_MOVES = f"""cl AS (SELECT pair_id, line_no, {TRIM.format('line')} AS t, 0 AS s FROM ol UNION ALL SELECT pair_id, line_no, {TRIM.format('line')}, 1 FROM nl),
   cw AS (SELECT pair_id, s, line_no AS a, list(t) OVER (PARTITION BY pair_id, s ORDER BY line_no ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS ts FROM cl),
   cz AS (SELECT pair_id, s, a, n, array_to_string(list_sort(list_filter(ts[1:n], lambda v: v <> '')), chr(10)) AS c FROM (SELECT *, unnest(range(1, len(ts) + 1)) AS n FROM cw) WHERE length({TRIM.format('array_to_string(ts[1:n], chr(10))')}) >= 10),
   cy AS (SELECT pair_id, n, c, list(a ORDER BY a) AS there FROM cz WHERE s = 1 GROUP BY 1, 2, 3),
   ck AS MATERIALIZED (SELECT z.pair_id, z.a, z.n, there, row_number() OVER (PARTITION BY z.pair_id ORDER BY z.n DESC, z.a) AS k FROM cz z JOIN cy y ON y.pair_id = z.pair_id AND y.n = z.n AND y.c = z.c WHERE s = 0),
   ct(pair_id, k, gone, come, hit, b) AS (SELECT DISTINCT pair_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), false, CAST(NULL AS INTEGER) FROM ck UNION ALL
     SELECT pair_id, k, CASE WHEN ok THEN list_concat(gone, range(a, a + n)) ELSE gone END, CASE WHEN ok THEN list_concat(come, range(b, b + n)) ELSE come END, ok, b
-    FROM (SELECT *, coalesce(b <> a, false) AS ok FROM (SELECT ck.pair_id, ck.k, ck.a, ck.n, gone, come, CASE WHEN list_has_any(gone, range(ck.a, ck.a + ck.n)) THEN NULL ELSE list_filter(there, lambda v: NOT list_has_any(come, range(v, v + ck.n)))[1] END AS b FROM ct JOIN ck ON ck.pair_id = ct.pair_id AND ck.k = ct.k + 1)))
-SELECT ck.pair_id, CAST(a AS INTEGER) AS start_old, CAST(b AS INTEGER) AS start_new, CAST(n AS INTEGER) AS size FROM ct JOIN ck USING (pair_id, k) WHERE hit""")
+    FROM (SELECT *, coalesce(b <> a, false) AS ok FROM (SELECT ck.pair_id, ck.k, ck.a, ck.n, gone, come, CASE WHEN list_has_any(gone, range(ck.a, ck.a + ck.n)) THEN NULL ELSE list_filter(there, lambda v: NOT list_has_any(come, range(v, v + ck.n)))[1] END AS b FROM ct JOIN ck ON ck.pair_id = ct.pair_id AND ck.k = ct.k + 1))),
+  cv AS (SELECT ck.pair_id, CAST(a AS INTEGER) AS start_old, CAST(b AS INTEGER) AS start_new, CAST(n AS INTEGER) AS size FROM ct JOIN ck USING (pair_id, k) WHERE hit)"""
+
+
+@query(f"WITH RECURSIVE {EDITED}, {_CONTENT_MOVES} SELECT pair_id, start_old, start_new, size FROM cv")
 def content_moves(spark, d):
     return late_moves.content_moves(*_edited(spark, d))
 
 
+@query(f"""WITH RECURSIVE {POSITIONAL}, fn AS (SELECT *, row_number() OVER (PARTITION BY pair_id, block_id, op ORDER BY seq) AS k FROM pb),
+  fm AS (SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.seq, b.seq) AS seq, CASE WHEN a.line IS NULL THEN 'added' WHEN b.line IS NULL THEN 'removed' ELSE 'modified' END AS c, a.old_no, b.new_no FROM (SELECT * FROM fn WHERE op = '-') a FULL JOIN (SELECT * FROM fn WHERE op = '+') b ON a.pair_id = b.pair_id AND a.block_id = b.block_id AND a.k = b.k),
+  {_CONTENT_MOVES}, fl AS (SELECT pair_id, c, CASE WHEN (c = 'removed' AND EXISTS (SELECT 1 FROM cv WHERE cv.pair_id = fm.pair_id AND old_no >= start_old AND old_no < start_old + size)) OR (c = 'added' AND EXISTS (SELECT 1 FROM cv WHERE cv.pair_id = fm.pair_id AND new_no >= start_new AND new_no < start_new + size)) THEN 'moved' ELSE c END AS k FROM fm
+    UNION ALL SELECT pair_id, 'unchanged', 'unchanged' FROM pe WHERE op = '=')
+SELECT pair_id, count(*) AS total_changes, count(*) FILTER (k = 'added') AS added, count(*) FILTER (k = 'removed') AS removed, count(*) FILTER (k = 'modified') AS modified, count(*) FILTER (k = 'moved') AS moved, count(*) FILTER (k = 'unchanged') AS unchanged FROM fl GROUP BY 1""")
+def late_move_stats(spark, d):
+    """Statistics of the degraded comparison by number after the late moves of content are applied."""
+    rows = cmp.classify_fast(_positional(spark, d))
+    return cmp.stats(late_moves.apply_moves(rows, late_moves.as_ranges(late_moves.content_moves(*_edited(spark, d)))))
+
+
 # two passes
 
 
@@ -421,3 +435,15 @@ def two_pass_agrees(spark, d):
 @query(f"WITH {EDITED} SELECT pair_id, line_no, line FROM nl")
 def two_pass_keeps_new(spark, d):
     return align.two_pass_edits(*_edited(spark, d)).where("op != '-'").select("pair_id", F.col("new_no").alias("line_no"), "line")
+
+
+# changes inside regions of lines, as C
+
+_C_REGION = r"""\"(?:[^\"\\]|\\.)*\"|''(?:[^''\\]|\\.)*''|//.*|/\*(?s:.*?)(?:\*/|$)"""
+_SIDE = "SELECT pair_id, line_no, CASE WHEN starts_with(v, '/') THEN 'comment' ELSE 'string' END AS type, v, row_number() OVER (PARTITION BY pair_id, line_no, starts_with(v, '/') ORDER BY i) AS k FROM (SELECT pair_id, line_no, unnest(regexp_extract_all({0}, '" + _C_REGION + "')) AS v, generate_subscripts(regexp_extract_all({0}, '" + _C_REGION + "'), 1) AS i FROM fc)"
+
+
+@query(f"WITH {_FACE}, ra AS ({_SIDE.replace('{0}', 'x')}), rb AS ({_SIDE.replace('{0}', 'y')}) SELECT coalesce(ra.pair_id, rb.pair_id) AS pair_id, coalesce(ra.line_no, rb.line_no) AS line_no, coalesce(ra.type, rb.type) AS type, ra.v AS removed, rb.v AS added FROM ra FULL JOIN rb ON ra.pair_id = rb.pair_id AND ra.line_no = rb.line_no AND ra.type = rb.type AND ra.k = rb.k WHERE ra.v IS DISTINCT FROM rb.v")
+def nested_region_diffs(spark, d):
+    x = _facing(spark, d).withColumn("n", F.explode(reg.nested_diffs("old_line", "new_line", F.lit("c"))))
+    return x.select("pair_id", "line_no", "n.type", "n.removed", "n.added")

@@ -161,6 +161,12 @@ def normalize_delims_simple(spark, d):
 
 @query(f"WITH {CHARS} SELECT doc_id, line_no, sig FROM sg")
 def line_signature(spark, d):
+    # for a scan of all lines, the Arrow form of the signature, which takes a fourth of the time of the native one
+    return _spread_lines(spark, d).select("doc_id", "line_no", sig.form_signature(txt.normal_form(F.col("line"))).alias("sig"))
+
+
+@query(f"WITH {CHARS} SELECT doc_id, line_no, sig FROM sg")
+def line_signature_native(spark, d):
     return _spread_lines(spark, d).select("doc_id", "line_no", sig.line_signature(F.col("line")).alias("sig"))
 
 
@@ -368,13 +374,13 @@ def diff_stats_multiset(spark, d):
 
 @query(f"WITH {EDITED} SELECT pair_id, line_no, line FROM ol")
 def diff_reconstructs_old(spark, d):
-    e = align.line_edits(src.edited_pairs(_docs(spark, d))).where("op != '+'")
+    e = align.line_edits(src.edited_pairs(src.spread(_docs(spark, d).select("doc_id", "text")))).where("op != '+'")
     return e.select("pair_id", (F.row_number().over(Window.partitionBy("pair_id").orderBy("seq")) - 1).alias("line_no"), "line")
 
 
 @query(f"WITH {EDITED} SELECT pair_id, line_no, line FROM nl")
 def diff_reconstructs_new(spark, d):
-    e = align.line_edits(src.edited_pairs(_docs(spark, d))).where("op != '-'")
+    e = align.line_edits(src.edited_pairs(src.spread(_docs(spark, d).select("doc_id", "text")))).where("op != '-'")
     return e.select("pair_id", (F.row_number().over(Window.partitionBy("pair_id").orderBy("seq")) - 1).alias("line_no"), "line")
 
 
@@ -472,12 +478,6 @@ def tokens_reconstruct(spark, d):
     return _docs(spark, d).select("doc_id", F.array_join(tokens("text")["value"], "").alias("text"))
 
 
-@query()
-def nested_region_diffs(spark, d):
-    x = _facing(spark, d).withColumn("n", F.explode(nested_diffs("old_line", "new_line", F.lit("c"))))
-    return x.select("pair_id", "line_no", "n.type", "n.removed", "n.added")
-
-
 # language and file type
 
 _NAME = "regexp_extract(url, '/([^/?#]*)([?#].*)?$', 1)"
