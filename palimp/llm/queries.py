@@ -24,7 +24,8 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", *(F.round(c, 4).alias(c) for c in ("score", "question_overlap", "answer_overlap")))
 
 
 def op2_pitman_yor_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +89,27 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_benchmark_decontamination, op2_pitman_yor_lm, op3_ngram_jaccard_join, op4_flow_resharding, op5_line_crf_quality, op6_norm_bucket_topk, op7_warc_round_trip, op8_crf_toxicity, op9_host_reputation, op10_prefix_dp_bpe, pipeline)}
 
+_WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\\x{80}-\\x{10FFFF}]+')"
+# passages of 4 * 64 * 2^c words at every half of that, for items of 64 * 2^c words at most; BM25 of the passage's words over that of the item's own; the best passage that holds 0.8 of the item's shingles
+OP1_SQL = f"""
+WITH it AS (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark),
+     ic AS (SELECT item_id, w, len(w) AS n, CASE WHEN len(w) <= 64 THEN 0 ELSE CAST(floor(log2((len(w) - 1) // 64)) AS INTEGER) + 1 END AS c FROM it WHERE len(w) > 0),
+     iz AS (SELECT c, count(*) AS items, avg(n) AS mean FROM ic GROUP BY c),
+     tf AS (SELECT item_id, c, n, t, count(*) AS tf FROM (SELECT item_id, c, n, unnest(w) AS t FROM ic) GROUP BY 1, 2, 3, 4),
+     df AS (SELECT c, t, count(*) AS df FROM tf GROUP BY 1, 2),
+     im AS (SELECT item_id, c, t, ln(1 + (items - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean)) AS w FROM tf JOIN df USING (c, t) JOIN iz USING (c)),
+     ix AS MATERIALIZED (SELECT item_id, c, t, w / sum(w) OVER (PARTITION BY item_id) AS w FROM im),
+     dw AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+     cl AS (SELECT c, 128 * (1 << c) AS step FROM iz),
+     pa AS MATERIALIZED (SELECT doc_id, c, p, w[p * step + 1 : (p + 2) * step] AS w, len(w) AS whole FROM (SELECT doc_id, c, step, w, unnest(range(0, greatest((len(w) + step - 1) // step - 1, 1))) AS p FROM dw, cl WHERE len(w) > 0)),
+     sc AS (SELECT doc_id, p, c, item_id, sum(ix.w) AS score FROM (SELECT DISTINCT doc_id, p, c, unnest(w) AS t FROM pa) x JOIN ix USING (c, t) GROUP BY 1, 2, 3, 4),
+     ih AS MATERIALIZED (SELECT DISTINCT item_id, c, n, unnest(list_transform(range(1, greatest(n - 4, 1) + 1), lambda i: array_to_string(w[i : i + 4], ' '))) AS s FROM ic),
+     ik AS (SELECT item_id, count(*) AS k FROM ih GROUP BY 1),
+     ov AS (SELECT doc_id, p, x.c, item_id, n, whole, any_value(words) AS words, count(*) AS hit FROM (SELECT DISTINCT doc_id, c, p, whole, len(w) AS words, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i : i + 4], ' '))) AS s FROM pa) x JOIN ih ON ih.c = x.c AND ih.s = x.s GROUP BY 1, 2, 3, 4, 5, 6),
+     ok AS (SELECT doc_id, item_id, score, hit / k AS question_overlap, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY score DESC, hit DESC) AS r FROM ov JOIN ik USING (item_id) JOIN sc USING (doc_id, p, c, item_id) WHERE 10 * hit >= 8 * k AND (n >= 5 OR n = whole))
+SELECT doc_id, item_id, round(score, 4) AS score, round(question_overlap, 4) AS question_overlap, CAST(1 AS DOUBLE) AS answer_overlap FROM ok WHERE r = 1
+"""
+
 # classes of equal shingle sets, overlaps by a join on shingles, and the smallest id that recursion reaches over links
 OP3_SQL = f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -145,4 +167,4 @@ WITH a AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([
 SELECT page_id, host, path, rule, coalesce(CASE rule {_VERDICT_SQL} END, CASE WHEN mean - 1.645 * sqrt(mean * (1 - mean) / (weight + 1)) >= 0.5 THEN 'allow' ELSE 'block' END) AS verdict FROM b
 """
 
-ORACLES: dict[str, str] = {"op3_ngram_jaccard_join": OP3_SQL, "op6_norm_bucket_topk": OP6_SQL, "op7_warc_round_trip": OP7_SQL, "op9_host_reputation": OP9_SQL}
+ORACLES: dict[str, str] = {"op1_benchmark_decontamination": OP1_SQL, "op3_ngram_jaccard_join": OP3_SQL, "op6_norm_bucket_topk": OP6_SQL, "op7_warc_round_trip": OP7_SQL, "op9_host_reputation": OP9_SQL}
