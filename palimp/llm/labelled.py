@@ -14,12 +14,16 @@ def crc_of_id(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, train: Column, each: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
+#: Bytes of a text of a sample at most; longer ones are scored, but not learnt from.
+LONGEST = 1 << 20
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, train: Column, each: int, id_col: str = "doc_id", text_col: str = "text", longest: int = LONGEST) -> list[tuple[str, int]]:
     """At most `each` texts of label 0 and of label 1, chosen by the hash of their id, among the labels for which `train` (of a column doc_id) holds; texts that repeat count once.
 
-    Only the chosen ids go to the driver and back, and only their texts return.
+    Only the chosen ids go to the driver and back, and only their texts return: one of each id (of several, that with the smallest hash), of `longest` bytes at most. So the driver gets 2 * each * longest bytes at most.
     """
-    known = labels.select(F.col("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1)).where(train)
+    known = labels.select(F.col("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1)).where(train).distinct()
     ids = None
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(42)), "doc_id").limit(each)
@@ -29,7 +33,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, train: C
     if not rows:
         return []
     chosen = spark.createDataFrame(rows, ids.schema)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.octet_length("text") <= longest)
+    texts = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     return sorted({(r["text"], r["y"]) for r in texts.select("text", "y").collect()})
 
 

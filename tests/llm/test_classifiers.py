@@ -63,3 +63,11 @@ def test_odd_texts(text):
     for model in (toxicity.fit_toxicity([("you idiot " + str(i), 1) for i in range(20)] + [(f"good day {i}", 0) for i in range(20)]), quality.fit_quality([("good line\nanother", 1), ("$$$ ### !!!", 0)])):
         a, b = model.score(pa.array([text, text], pa.string()))
         assert a == b and 0 <= a <= 1
+
+
+def test_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (1, "a"), (2, "x" * 50), (3, None), (4, "d"), (None, "e")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 1), (3, 0), (4, 0), (5, 0), (None, 1), (4, None)], "doc_id long, toxic int")
+    got = labelled.labelled_sample(docs, labels, "toxic", F.lit(True), 10, longest=20)
+    assert len(got) == 3 and {y for _, y in got} == {0, 1} and ("", 0) in got and ("d", 0) in got
+    assert len(labelled.labelled_sample(docs, labels, "toxic", F.lit(True), 1)) == 2
