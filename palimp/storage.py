@@ -29,8 +29,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/palimp-{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, which clean() deletes."""
+    path = f"{shared_dir(spark)}/palimp-{name}-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    if not hasattr(sc, "_palimp_paths"):
+        sc._palimp_paths = []
+    sc._palimp_paths.append(path)
+    return path
+
+
+def clean(spark: SparkSession) -> int:
+    """Deletes all intermediate tables, layouts and archives that this Spark context has made so far; returns their number. To be called when the results are saved: DataFrames that read them no longer work."""
+    paths = getattr(spark.sparkContext, "_palimp_paths", [])
+    for path in paths:
+        drop_path(spark, path)
+    n = len(paths)
+    paths.clear()
+    return n
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
