@@ -34,7 +34,7 @@ BLOCK, PART, SPREAD, ROW = 1_000_000, 60_000, 16, 1000
 #: n-grams of a stretch in which common ones are looked for, the share of its texts that makes one common, and common ones at most.
 HELD, COMMON, KNOWN = 2_000_000, 0.001, 1_000_000
 #: Postings that a task combines at once; rows of one foreign level that share a signature there, from which on they are linked at once; postings of a part.
-POSTS, MANY, PACK = 1_000_000, 8, 1_000_000
+POSTS, MANY, PACK = 1_000_000, 8, 400_000
 _LEVELS = [6]
 while _LEVELS[-1] < 1 << 40:
     _LEVELS.append(_LEVELS[-1] * 6 // 5 + 1)
