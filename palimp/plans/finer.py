@@ -16,7 +16,7 @@ from palimp.functions import text as txt
 from palimp.functions import tokens as tok
 from palimp.operators import align, late_moves, matching, sliders
 from palimp.plans import compare as cmp
-from palimp.plans.registry import DOC_LINES, EDITED, POSITIONAL, TRIM, _docs, _edited, _facing, _lines, _NAME, _positional, query
+from palimp.plans.registry import DOC_LINES, EDITED, POSITIONAL, TRIM, _docs, _edited, _facing, _NAME, _positional, query
 from palimp.sources import pairs as src
 
 PAGE_LINES = "gl AS (SELECT page_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS line_no, unnest(l) AS line FROM (SELECT page_id, string_split(html, chr(10)) AS l FROM pages))"
@@ -357,11 +357,16 @@ def unpaired_lines(spark, d):
     return matching.unpaired(b, pairs).select("pair_id", "block_id", "op", F.coalesce("old_no", "new_no").alias("line_no"), "line")
 
 
-_FAST_SIM = f"""{POSITIONAL}, lm AS MATERIALIZED (SELECT pair_id, block_id, op, coalesce(old_no, new_no) AS no, lower({TRIM.format('line')}) AS p, list_filter(regexp_split_to_array(lower({TRIM.format('line')}), '\\s+'), lambda w: w <> '') AS ws FROM pb WHERE {TRIM.format('line')} <> ''),
+def fast_similarity_sql(rows: str) -> str:
+    """fx(pair_id, x, y, bx, bz, sim): the fast similarity of all removed and added lines of a pair that aren't blank, with their blocks."""
+    return f"""lm AS MATERIALIZED (SELECT pair_id, block_id, op, coalesce(old_no, new_no) AS no, lower({TRIM.format('line')}) AS p, list_filter(regexp_split_to_array(lower({TRIM.format('line')}), '\\s+'), lambda w: w <> '') AS ws FROM {rows} WHERE {TRIM.format('line')} <> ''),
   fx AS (SELECT a.pair_id, a.no AS x, b.no AS y, a.block_id AS bx, b.block_id AS bz, CASE WHEN a.p = b.p THEN 1 ELSE least(1, 0.0001 + CASE WHEN greatest(length(a.p), length(b.p)) < 50 THEN len(list_filter(range(1, least(length(a.p), length(b.p)) + 1), lambda i: substr(a.p, i, 1) = substr(b.p, i, 1))) / greatest(length(a.p), length(b.p)) ELSE 2 * len(list_filter(b.ws, lambda w: list_contains(a.ws, w))) / greatest(len(a.ws) + len(b.ws), 1) END) END AS sim
     FROM lm a JOIN lm b ON a.pair_id = b.pair_id AND a.op = '-' AND b.op = '+')"""
 
 
+_FAST_SIM = f"{POSITIONAL}, {fast_similarity_sql('pb')}"
+
+
 @query(f"WITH RECURSIVE {_FAST_SIM}, fy AS (SELECT * FROM fx WHERE sim >= 0.9), {_greedy_sql('fy', 'pair_id', 'sim DESC, x, y', 'gm')} SELECT pair_id, x AS old_no, y AS new_no, round(sim, 6) AS sim FROM gm")
 def similar_line_moves(spark, d):
     return matching.similar_moves(align.change_blocks(_positional(spark, d)), 0.9).withColumn("sim", F.round("sim", 6))
@@ -381,13 +386,18 @@ def patience_line_moves(spark, d):
     return matching.patience_moves(align.change_blocks(_positional(spark, d))).withColumn("similarity", F.round("similarity", 6))
 
 
-@query(f"""WITH RECURSIVE {POSITIONAL}, bl AS (SELECT pair_id, op, coalesce(old_no, new_no) AS no, line FROM pb WHERE {TRIM.format('line')} <> ''), bd AS (SELECT a.pair_id, a.no AS i, b.no AS j, a.no - b.no AS dd FROM bl a JOIN bl b ON a.pair_id = b.pair_id AND a.line = b.line AND a.op = '-' AND b.op = '+'),
+def block_moves_sql(rows: str) -> str:
+    """bm(pair_id, start_old, start_new, size): runs of removed lines that were added elsewhere, the longest first, without overlap."""
+    return f"""bl AS (SELECT pair_id, op, coalesce(old_no, new_no) AS no, line FROM {rows} WHERE {TRIM.format('line')} <> ''), bd AS (SELECT a.pair_id, a.no AS i, b.no AS j, a.no - b.no AS dd FROM bl a JOIN bl b ON a.pair_id = b.pair_id AND a.line = b.line AND a.op = '-' AND b.op = '+'),
   bs AS (SELECT *, i - row_number() OVER (PARTITION BY pair_id, dd ORDER BY i) AS g FROM bd), br AS (SELECT pair_id, min(i) AS i, min(j) AS j, count(*) AS n FROM bs GROUP BY pair_id, dd, g),
   bc AS (SELECT pair_id, i + 100 * k AS i, j + 100 * k AS j, least(100, n - 100 * k) AS n FROM (SELECT *, unnest(range(0, (n - 1) // 100 + 1)) AS k FROM br)), bk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY n DESC, i, j) AS k FROM bc),
   bt(pair_id, k, ui, uj, taken, hit) AS (SELECT DISTINCT pair_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), 0, false FROM bk UNION ALL
     SELECT b.pair_id, b.k, CASE WHEN ok THEN list_concat(ui, range(b.i, b.i + b.n)) ELSE ui END, CASE WHEN ok THEN list_concat(uj, range(b.j, b.j + b.n)) ELSE uj END, taken + CASE WHEN ok THEN 1 ELSE 0 END, ok
-    FROM (SELECT bk.*, ui, uj, taken, taken < 100 AND NOT list_has_any(ui, range(bk.i, bk.i + bk.n)) AND NOT list_has_any(uj, range(bk.j, bk.j + bk.n)) AS ok FROM bt JOIN bk ON bk.pair_id = bt.pair_id AND bk.k = bt.k + 1) b)
-SELECT bk.pair_id, CAST(i AS BIGINT) AS start_old, CAST(j AS BIGINT) AS start_new, n AS size FROM bt JOIN bk USING (pair_id, k) WHERE hit""")
+    FROM (SELECT bk.*, ui, uj, taken, taken < 100 AND NOT list_has_any(ui, range(bk.i, bk.i + bk.n)) AND NOT list_has_any(uj, range(bk.j, bk.j + bk.n)) AS ok FROM bt JOIN bk ON bk.pair_id = bt.pair_id AND bk.k = bt.k + 1) b),
+  bm AS MATERIALIZED (SELECT bk.pair_id, CAST(i AS BIGINT) AS start_old, CAST(j AS BIGINT) AS start_new, n AS size FROM bt JOIN bk USING (pair_id, k) WHERE hit)"""
+
+
+@query(f"WITH RECURSIVE {POSITIONAL}, {block_moves_sql('pb')} SELECT pair_id, start_old, start_new, size FROM bm")
 def positional_block_moves(spark, d):
     return matching.block_moves(align.change_blocks(_positional(spark, d)))
 

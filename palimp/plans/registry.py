@@ -16,13 +16,10 @@ from palimp.functions import signature as sig
 from palimp.functions import similarity as sim
 from palimp.functions import text as txt
 from palimp.functions.edit import char_diff, word_diff
-from palimp.functions.regions import nested_diffs, regions
-from palimp.functions.syntax import ast_signature, ast_similarity, full_similarity
-from palimp.functions.tokens import token_lcs, token_line_similarity, tokens
+from palimp.functions.tokens import tokens
 from palimp.operators import align, export, late_moves, lsh, matching, sliders
 from palimp.plans import compare as cmp
 from palimp.sources import pairs as src
-from palimp.storage import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -273,17 +270,6 @@ def content_block_similarity(spark, d):
     return turn_pairs(spark, d).select("conv_id", "turn", F.round(sim.block_similarity(F.col("old_text"), F.col("new_text")), 6).alias("similarity"))
 
 
-@query()
-def word_similarity(spark, d):
-    return _facing(spark, d).select("pair_id", "line_no", F.round(sim.word_similarity("old_line", "new_line"), 6).alias("similarity"))
-
-
-@query()
-def enhanced_similarity(spark, d):
-    mixed = 0.7 * token_line_similarity("old_line", "new_line") + 0.3 * sim.word_similarity("old_line", "new_line")
-    return _facing(spark, d).select("pair_id", "line_no", F.round(full_similarity(mixed, ast_similarity("old_line", "new_line")), 6).alias("similarity"), ast_signature("old_line").alias("old_tree"))
-
-
 # alignment
 
 
@@ -398,24 +384,12 @@ def mutual_best_pairs(spark, d):
     return matching.mutual_best(x.withColumn("sim", score), 0.5).select("pair_id", "block_id", "old_no", "new_no")
 
 
-@query()
-def similarity_pairs(spark, d):
-    b = written(align.change_blocks(align.line_edits(src.edited_pairs(_docs(spark, d)))), "blocks")
-    x = matching.greedy_pairs(matching.candidates(b), 0.5)
-    return x.withColumn("sim", F.round("sim", 6))
-
-
 @query(f"""WITH {POSITIONAL}, r AS (SELECT pair_id, line, op, block_id, coalesce(old_no, new_no) AS no, row_number() OVER (PARTITION BY pair_id, line, op ORDER BY coalesce(old_no, new_no)) AS n FROM pb WHERE {TRIM.format('line')} <> '')
 SELECT a.pair_id, a.no AS from_no, b.no AS to_no, a.block_id AS from_block, b.block_id AS to_block FROM r a JOIN r b ON a.pair_id = b.pair_id AND a.line = b.line AND a.n = b.n AND a.op = '-' AND b.op = '+' WHERE a.block_id <> b.block_id""")
 def exact_line_moves(spark, d):
     return matching.exact_moves(align.change_blocks(_positional(spark, d)))
 
 
-@query()
-def block_moves(spark, d):
-    return matching.block_moves(written(align.change_blocks(align.line_edits(src.edited_pairs(_docs(spark, d)))), "blocks"))
-
-
 @query(f"""WITH {POSITIONAL}, g AS (SELECT pair_id, count(old_no) + count(new_no) AS lines, count(*) FILTER (op = '-') AS n_removed, count(*) FILTER (op = '+') AS n_added FROM pe GROUP BY 1)
 SELECT pair_id, lines, n_removed, n_added, CASE WHEN lines > 50000 OR n_removed * n_added > 200 THEN 'fast' WHEN lines > 30 THEN 'two_pass' ELSE 'single_pass' END AS route FROM g""")
 def complexity_route(spark, d):
@@ -429,16 +403,6 @@ def fast_mode_stats(spark, d):
     return cmp.stats(cmp.classify_fast(_positional(spark, d)))
 
 
-@query()
-def full_diff_stats(spark, d):
-    return cmp.stats(_full(spark, d))
-
-
-@query()
-def full_diff_rows(spark, d):
-    return _full(spark, d).withColumn("similarity", F.round("similarity", 6))
-
-
 @query(f"WITH {EDITED} SELECT pair_id, line_no, line FROM ol")
 def full_diff_keeps_old(spark, d):
     return _full(spark, d).where("old_no is not null").select("pair_id", F.col("old_no").alias("line_no"), F.col("removed_line").alias("line"))
