@@ -13,6 +13,10 @@ from typing import Protocol
 import numpy as np
 
 
+#: Positions whose messages are formed at once in training.
+BLOCK = 200_000
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
@@ -112,16 +116,22 @@ class Dense:
 
 @dataclass
 class Hashed:
-    """Several features of value 1 at each position, and a bias, the last."""
+    """Several features of value 1 at each position, and a bias, the last. at: positions by kinds; kinds are taken one after the other, which keeps memory at a few arrays of the positions."""
 
     at: np.ndarray
     size: int
 
     def scores(self, w):
-        return w[self.at].sum(1) + w[-1]
+        out = np.full(len(self.at), w[-1])
+        for k in range(self.at.shape[1]):
+            out += w[self.at[:, k]]
+        return out
 
     def sums(self, x):
-        out = np.bincount(self.at.ravel(), np.repeat(x, self.at.shape[1]), self.size)
+        out = np.zeros(self.size)
+        for k in range(self.at.shape[1]):
+            part = np.bincount(self.at[:, k], x)
+            out[: len(part)] += part
         out[-1] += x.sum()
         return out
 
@@ -135,13 +145,27 @@ def train(f: Features, off: np.ndarray, y: np.ndarray, weight: np.ndarray | None
     seen = np.zeros((2, 2))
     np.add.at(seen, (y[i], y[i + 1]), 1)
     n = max(1, len(y))
-    m = [np.zeros_like(w), np.zeros_like(t)]
-    v = [np.zeros_like(w), np.zeros_like(t)]
+    # sequences in blocks of BLOCK positions or so, so that messages need little memory
+    cuts = np.unique(np.r_[0, np.searchsorted(off, np.arange(BLOCK, len(y), BLOCK)), len(off) - 1])
+    p = np.empty(len(y))
+    m = [np.zeros(w.shape, np.float32), np.zeros_like(t)]
+    v = [np.zeros(w.shape, np.float32), np.zeros_like(t)]
     for k in range(1, steps + 1):
-        p, expected = forward_backward(f.scores(w), off, t, run, True)
+        u, expected = f.scores(w), np.zeros((2, 2))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            p[off[a] : off[b]], some = forward_backward(u[off[a] : off[b]], off[a : b + 1] - off[a], t, run, True)
+            expected += some
         gap = y - p if weight is None else (y - p) * weight
-        for j, (g, x) in enumerate((((f.sums(gap) - l2 * w) / n, w), ((seen - expected - l2 * t) / n, t))):
-            m[j] = 0.9 * m[j] + 0.1 * g
-            v[j] = 0.99 * v[j] + 0.01 * g * g
-            x += rate * (m[j] / (1 - 0.9**k)) / (np.sqrt(v[j] / (1 - 0.99**k)) + 1e-12) * (0.2 + 0.8 * (1 - k / steps))
+        for j, x in enumerate((w, t)):
+            g = f.sums(gap) if j == 0 else seen - expected
+            g -= l2 * x
+            g /= n
+            m[j] *= 0.9
+            m[j] += 0.1 * g
+            v[j] *= 0.99
+            v[j] += 0.01 * g * g
+            np.divide(m[j], 1 - 0.9**k, out=g)
+            g /= np.sqrt(v[j] / (1 - 0.99**k)) + 1e-12
+            g *= rate * (0.2 + 0.8 * (1 - k / steps))
+            x += g
     return w, t

@@ -33,19 +33,22 @@ def token_features(tok: Tokens) -> np.ndarray:
     h, d = tok.hashes(), tok.data
     length = tok.end - tok.start
     top = len(d) - 1
-    out = np.empty((len(h), KINDS), np.int32)
-    first, keys = np.zeros(len(h), U), [h]
+    out = np.empty((len(h), KINDS), np.int32, order="F")  # kind by kind
+
+    def put(k: int, x: np.ndarray) -> None:
+        with np.errstate(over="ignore"):
+            out[:, k] = (mix(x + U((k + 1) * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)) >> U(64 - BITS)).astype(np.int32) + (k << BITS)
+
+    put(0, h)
+    first = np.zeros(len(h), U)
     for j in range(8):
         first = first << U(8) | np.where(length > j, d[np.minimum(tok.start + j, max(top, 0))] if top >= 0 else 0, 0).astype(U)
         if j >= 3:
-            keys.append(first.copy())
+            put(j - 2, first)
     end = np.zeros(len(h), U)
     for j in range(1, 4):
         end = end << U(8) | np.where(length >= j, d[np.maximum(tok.end - j, 0)] if top >= 0 else 0, 0).astype(U)
-    keys.append(end)
-    with np.errstate(over="ignore"):
-        for k, x in enumerate(keys):
-            out[:, k] = (mix(x + U(k + 1) * U(0x632BE59BD9B4E019)) >> U(64 - BITS)).astype(np.int32) + (k << BITS)
+    put(KINDS - 1, end)
     return out
 
 
@@ -109,12 +112,12 @@ def fit_score(x: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
 def token_labels(at: np.ndarray, off: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """1 for the tokens with a clue's feature, in the toxic texts that have it as often as the clue says."""
     doc = np.repeat(np.arange(len(toxic)), np.diff(off))
-    width, size = len(toxic), KINDS << BITS
+    width, size = len(toxic), 1 << BITS
     n1, n0 = max(1, toxic.sum()), max(1, (1 - toxic).sum())
     share = n1 / (n1 + n0)
     y = np.zeros(len(at), bool)
     for k in range(KINDS - 1):
-        pair, place, times = np.unique(at[:, k].astype(np.int64) * width + doc, return_inverse=True, return_counts=True)
+        pair, place, times = np.unique((at[:, k].astype(np.int64) - (k << BITS)) * width + doc, return_inverse=True, return_counts=True)
         f, d = pair // width, pair % width
         labelled = np.zeros(len(pair), bool)
         for j in range(1, TIMES + 1):
