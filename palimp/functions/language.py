@@ -9,8 +9,21 @@ from .text import trimmed
 
 #: Languages by extension.
 EXTENSIONS = {
-    "javascript": ".js .jsx .mjs .cjs", "typescript": ".ts .mts .cts", "tsx": ".tsx", "python": ".py .pyw .pyi", "json": ".json .jsonc", "html": ".html .htm .xhtml",
-    "css": ".css .scss .sass .less", "go": ".go", "rust": ".rs", "java": ".java", "c": ".c .h", "cpp": ".cpp .cc .cxx .hpp .hxx", "yaml": ".yml .yaml", "bash": ".sh .bash .zsh .fish", "regex": ".regex .regexp",
+    "javascript": (".js", ".jsx", ".mjs", ".cjs"),
+    "typescript": (".ts", ".mts", ".cts"),
+    "tsx": (".tsx",),
+    "python": (".py", ".pyw", ".pyi"),
+    "json": (".json", ".jsonc"),
+    "html": (".html", ".htm", ".xhtml"),
+    "css": (".css", ".scss", ".sass", ".less"),
+    "go": (".go",),
+    "rust": (".rs",),
+    "java": (".java",),
+    "c": (".c", ".h"),
+    "cpp": (".cpp", ".cc", ".cxx", ".hpp", ".hxx"),
+    "yaml": (".yml", ".yaml"),
+    "bash": (".sh", ".bash", ".zsh", ".fish"),
+    "regex": (".regex", ".regexp"),
 }
 #: Patterns of a language, of which two must occur, in the order of the tests.
 RULES = {
@@ -22,13 +35,31 @@ RULES = {
     "yaml": [r"^---\s*$", r"^\w+:\s*\w", r"^\s+-\s+\w", r"^\w+:\s*$"],
     "html": [r"(?i)<(!DOCTYPE|html|head|body|div|span|p|a|img)\b", r"(?i)<\w+\s+\w+\s*=\s*[\"'][^\"']*[\"']", r"(?i)</\w+>"],
 }
+#: Patterns of JavaScript, of TypeScript and what it needs besides, what JavaScript doesn't have, and the first line of a shell script.
 JAVASCRIPT = [r"\b(const|let|var)\s+[\w_$]+\s*[=:]", r"\bfunction\s+[\w_$]+\s*\(", r"\bclass\s+[\w_$]+\s*\{", r"\b(import|export)\s+\{", r"\basync\s+function\b", r"\bawait\s+", r"=>", r"\bconsole\.(log|error|warn|info)\b", r"\bdocument\.\w+\("]
 TYPESCRIPT = [r":\s*(string|number|boolean|any|void|never)\s*[=;)]", r"\binterface\s+\w+\s*\{", r"\btype\s+\w+\s*=", r"\b(enum|namespace|module)\s+\w+", r"<\w+(,\s*\w+)*>"]
 TYPESCRIPT_BASE = [r"\b(const|let|var)\s+", r"\bfunction\s+", r"\b(import|export)\b"]
 NOT_JAVASCRIPT = [r"\bpublic\s+class\b", r"\bprivate\s+\w+\s+\w+;", r"\bSystem\.(out|err)\.", r"\bimport\s+java\.", r":\s*(string|number|boolean|any|void|never)\s*[=;)]", r"\binterface\s+\w+\s*\{", r"\btype\s+\w+\s*=", r"\benum\s+\w+"]
 SHEBANG = r"^#!/bin/(bash|sh|zsh|dash)"
 #: File types by extension, and patterns of network configurations.
-FILE_TYPES = {"python": "py", "javascript": "js", "typescript": "ts", "json": "json", "yaml": "yaml yml", "xml": "xml", "html": "html", "css": "css", "go": "go", "rust": "rs", "java": "java", "c": "c", "cpp": "cpp", "bash": "sh bash", "markdown": "md", "text": "txt"}
+FILE_TYPES = {
+    "python": ("py",),
+    "javascript": ("js",),
+    "typescript": ("ts",),
+    "json": ("json",),
+    "yaml": ("yaml", "yml"),
+    "xml": ("xml",),
+    "html": ("html",),
+    "css": ("css",),
+    "go": ("go",),
+    "rust": ("rs",),
+    "java": ("java",),
+    "c": ("c",),
+    "cpp": ("cpp",),
+    "bash": ("sh", "bash"),
+    "markdown": ("md",),
+    "text": ("txt",),
+}
 IOS = [r"^\s*!", r"^interface\s+", r"^hostname\s+", r"^line\s+(console|vty)", r"^router\s+", r"^version\s+\d+\.\d+"]
 JUNOS = [r"^set\s+", r"^system\s*\{", r"^interfaces\s*\{", r"^routing-options\s*\{", r"^(edit|configure)\s+", r"^show\s+(configuration|interfaces)"]
 
@@ -51,7 +82,7 @@ def language_by_extension(name: Column) -> Column:
     ext = extension(name)
     out = F.when(F.lit(False), F.lit(None).cast("string"))
     for language, names in EXTENSIONS.items():
-        out = out.when(ext.isin(*names.split()), language)
+        out = out.when(ext.isin(*names), language)
     return out
 
 
@@ -74,7 +105,7 @@ def language_by_content(c: Column) -> Column:
 
 def supported_extensions() -> list[tuple[str, str]]:
     """Language and extension, in the order of the table."""
-    return [(k, x) for k, names in EXTENSIONS.items() for x in names.split()]
+    return [(k, x) for k, names in EXTENSIONS.items() for x in names]
 
 
 def detection_details(name: Column, content: Column) -> Column:
@@ -101,7 +132,7 @@ def file_type(content: Column, name: Column | None = None) -> Column:
     if name is not None:
         ext = F.lower(F.substring_index(name, ".", -1))
         for kind, names in FILE_TYPES.items():
-            out = out.when(ext.isin(*names.split()), kind)
+            out = out.when(ext.isin(*names), kind)
     ends = lambda a, b: t.startswith(a) & t.endswith(b)
     first = F.array_join(F.slice(F.split(content, "\n", -1), 1, 50), "\n")
     return (

@@ -21,8 +21,18 @@ SYNTAX = {
     "default": (("//", "#", "--"), (("/*", "*/"), ("<!--", "-->")), (_DOUBLE, _SINGLE)),
 }
 #: Languages of each family.
-FAMILIES = {"c": "c css rust js javascript typescript ts java cpp c++ c# cs", "python": "python py toml", "shell": "shell bash sh zsh", "html": "html xml svg", "ruby": "ruby rb", "swift": "swift kotlin kt scala", "haskell": "haskell hs", "perl": "perl pl", "hash": "r dockerfile docker yaml makefile"}
-_FAMILY = {name: family for family, names in FAMILIES.items() for name in names.split()}
+FAMILIES = {
+    "c": ("c", "css", "rust", "js", "javascript", "typescript", "ts", "java", "cpp", "c++", "c#", "cs"),
+    "python": ("python", "py", "toml"),
+    "shell": ("shell", "bash", "sh", "zsh"),
+    "html": ("html", "xml", "svg"),
+    "ruby": ("ruby", "rb"),
+    "swift": ("swift", "kotlin", "kt", "scala"),
+    "haskell": ("haskell", "hs"),
+    "perl": ("perl", "pl"),
+    "hash": ("r", "dockerfile", "docker", "yaml", "makefile"),
+}
+_FAMILY = {name: family for family, names in FAMILIES.items() for name in names}
 
 
 def syntax_of(language: str | None) -> tuple:

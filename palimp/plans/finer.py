@@ -216,7 +216,7 @@ _CONTENT_SQL = f"""CASE WHEN (starts_with({TRIM.format('html')}, '{{') OR starts
   WHEN {_hits_sql(lang.JAVASCRIPT)} >= 2 AND {_hits_sql(lang.NOT_JAVASCRIPT)} = 0 AND NOT (regexp_matches(html, '^\\s*def\\s+\\w+') OR (regexp_matches(html, '(?m)^\\s*@[\\w_]+') AND regexp_matches(html, '(?m)^\\s*async def'))) AND NOT (regexp_matches(html, '\\bfn\\s+\\w+\\s*\\(') AND (regexp_matches(html, '\\bmod\\s+\\w+') OR regexp_matches(html, '\\buse\\s+\\w+::') OR regexp_matches(html, '\\bimpl\\s+'))) THEN 'javascript'
   """ + " ".join(f"WHEN {_hits_sql(p)} >= 2" + (f" OR regexp_matches(html, '(?m){lang.SHEBANG}')" if k == "bash" else "") + f" THEN '{k}'" for k, p in lang.RULES.items()) + " END"
 _EXT_SQL = f"regexp_extract(lower({_NAME}), '^.+(\\.[^.]*)$', 1)"
-_BY_EXT_SQL = "CASE " + " ".join(f"WHEN {_EXT_SQL} IN ({', '.join(repr(x) for x in v.split())}) THEN '{k}'" for k, v in lang.EXTENSIONS.items()) + " END"
+_BY_EXT_SQL = "CASE " + " ".join(f"WHEN {_EXT_SQL} IN ({', '.join(repr(x) for x in v)}) THEN '{k}'" for k, v in lang.EXTENSIONS.items()) + " END"
 
 
 def _url_name():

@@ -447,7 +447,7 @@ def tokens_reconstruct(spark, d):
 _NAME = "regexp_extract(url, '/([^/?#]*)([?#].*)?$', 1)"
 
 
-@query("SELECT page_id, CASE " + " ".join(f"WHEN regexp_extract(lower({_NAME}), '^.+(\\.[^.]*)$', 1) IN ({', '.join(repr(x) for x in v.split())}) THEN '{k}'" for k, v in lang.EXTENSIONS.items()) + " END AS language FROM pages")
+@query("SELECT page_id, CASE " + " ".join(f"WHEN regexp_extract(lower({_NAME}), '^.+(\\.[^.]*)$', 1) IN ({', '.join(repr(x) for x in v)}) THEN '{k}'" for k, v in lang.EXTENSIONS.items()) + " END AS language FROM pages")
 def language_by_extension(spark, d):
     return src.table(spark, d, "pages").select("page_id", lang.language_by_extension(F.regexp_extract("url", r"/([^/?#]*)([?#].*)?$", 1)).alias("language"))
 
