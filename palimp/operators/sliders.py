@@ -11,6 +11,12 @@ AMBIGUITY, MOST, CORRECTION, FRAME, LARGEST = 0.15, 50, 0.7, 5, 10_000
 #: Weights (brace, indent, comment, delimiter) by language.
 WEIGHTS = {"javascript": (0.3, 0.2, 0.2, 0.3), "typescript": (0.3, 0.2, 0.2, 0.3), "java": (0.25, 0.25, 0.2, 0.3), "c": (0.25, 0.25, 0.2, 0.3), "cpp": (0.25, 0.25, 0.2, 0.3), "python": (0.0, 0.5, 0.3, 0.2), "json": (0.4, 0.3, 0.1, 0.2), "yaml": (0.0, 0.6, 0.2, 0.2)}
 OTHER = (0.25, 0.25, 0.25, 0.25)
+#: Scores of delimiters that are there on both sides or on one; of no evidence; of an indent that the neighbour has, or hasn't; of a comment next to one or alone, of a line between comments or of any other; of an
+#: opening brace after a signature or elsewhere, and of a closing one.
+BOTH, ONE, NEUTRAL = 0.8, 0.3, 0.5
+SAME_INDENT, OTHER_INDENT = 0.9, 0.4
+NEAR_COMMENT, LONE_COMMENT, BETWEEN_COMMENTS, NO_COMMENT = 0.9, 0.5, 0.2, 0.8
+AFTER_SIGNATURE, ELSEWHERE, CLOSING = 0.9, 0.4, 0.7
 #: What begins a comment, what looks like a signature, and the languages whose opening braces end a line.
 COMMENT, SIGNATURE = r"^(//|#|/\*|\*|<!--|--)", r"\b(function\s+\w+|class\s+\w+|if\s*\(|for\s*\(|while\s*\(|else\s*if)|\)\s*$"
 BRACES = ("javascript", "typescript", "java", "c", "cpp", "csharp")
@@ -29,31 +35,31 @@ def delimiter_score(center: Column, before: Column, after: Column) -> Column:
     total, checks = F.lit(0.0), F.lit(0)
     for a, b in ("()", "[]", "{}"):
         x, y = _holds(a, center, before), _holds(b, center, after)
-        total = total + F.when(x & y, 0.8).when(x | y, 0.3).otherwise(0.0)
+        total = total + F.when(x & y, BOTH).when(x | y, ONE).otherwise(0.0)
         checks = checks + F.when(x | y, 1).otherwise(0)
-    return F.when(checks > 0, total / checks).otherwise(0.5)
+    return F.when(checks > 0, total / checks).otherwise(NEUTRAL)
 
 
 def indent_score(center: Column, before: Column, after: Column) -> Column:
     mean = lambda arr: F.aggregate(arr, F.lit(0.0), lambda s, v: s + indent(v)) / F.size(arr)
     i, nb, na = indent(center), F.size(before), F.size(after)
-    x = F.when(nb > 0, F.when(i == indent(F.element_at(before, -1)), 0.9).otherwise(0.4)).otherwise(0.0)
-    y = F.when(na > 0, F.when(i == indent(F.element_at(after, 1)), 0.9).otherwise(0.4)).otherwise(0.0)
+    x = F.when(nb > 0, F.when(i == indent(F.element_at(before, -1)), SAME_INDENT).otherwise(OTHER_INDENT)).otherwise(0.0)
+    y = F.when(na > 0, F.when(i == indent(F.element_at(after, 1)), SAME_INDENT).otherwise(OTHER_INDENT)).otherwise(0.0)
     z = F.when((nb > 0) & (na > 0), 0.5 * (1 - F.abs(i - (mean(before) + mean(after)) / 2))).otherwise(0.0)
     checks = F.when(nb > 0, 1).otherwise(0) + F.when(na > 0, 1).otherwise(0) + F.when((nb > 0) & (na > 0), 1).otherwise(0)
-    return F.when(checks > 0, (x + y + z) / checks).otherwise(0.5)
+    return F.when(checks > 0, (x + y + z) / checks).otherwise(NEUTRAL)
 
 
 def comment_score(center: Column, before: Column, after: Column) -> Column:
     is_comment = lambda v: trimmed(v).rlike(COMMENT)
     b, a = F.exists(before, is_comment), F.exists(after, is_comment)
-    return F.when(is_comment(center), F.when(a | b, 0.9).otherwise(0.5)).otherwise(F.when(a & b, 0.2).otherwise(0.8))
+    return F.when(is_comment(center), F.when(a | b, NEAR_COMMENT).otherwise(LONE_COMMENT)).otherwise(F.when(a & b, BETWEEN_COMMENTS).otherwise(NO_COMMENT))
 
 
 def brace_score(center: Column, before: Column) -> Column:
     x, y = F.contains(center, F.lit("{")), F.contains(center, F.lit("}"))
     last = F.when(F.size(before) > 0, F.element_at(before, -1)).otherwise("")
-    return F.when(x | y, F.when(x, F.when(last.rlike(SIGNATURE), 0.9).otherwise(0.4)).otherwise(0.0) + F.when(y, 0.7).otherwise(0.0)).otherwise(0.5)
+    return F.when(x | y, F.when(x, F.when(last.rlike(SIGNATURE), AFTER_SIGNATURE).otherwise(ELSEWHERE)).otherwise(0.0) + F.when(y, CLOSING).otherwise(0.0)).otherwise(NEUTRAL)
 
 
 def contexts(rows: DataFrame, key: str = "pair_id", order: str = "seq", text: str = "text") -> DataFrame:
