@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .shared import forget, written
 
-#: Nodes with more than this share of the links, and with LEAST of them, are joined by a broadcast: 2 / HOT nodes at most.
-HOT, LEAST = 0.001, 100
+#: From this many links on, nodes with more than the share HOT of them are joined by a broadcast: 2 / HOT nodes at most. With fewer links a node's share is small anyway, and broadcasts cost more than they save.
+MANY, HOT = 5_000_000, 0.001
 
 
 def _sum(e: DataFrame) -> tuple:
@@ -16,8 +16,10 @@ def _sum(e: DataFrame) -> tuple:
 
 
 def _with_lowest(links: DataFrame, low: DataFrame, total: int) -> DataFrame:
-    """links (u, v) with m of their u in low (u, m, n: its links). The few nodes that hold many links are broadcast, so their links stay where they are; the others meet by a shuffle."""
-    hot = F.col("n") > max(LEAST, int(total * HOT))
+    """links (u, v) with m of their u in low (u, m, n: its links). Of many links, the few nodes that hold a large share are broadcast, so their links stay where they are; the others meet by a shuffle."""
+    if total < MANY:
+        return links.join(low.select("u", "m"), "u")
+    hot = F.col("n") > int(total * HOT)
     often = F.broadcast(low.where(hot).select("u", "m"))
     return links.join(often, "u").unionByName(links.join(often.select("u"), "u", "left_anti").join(low.where(~hot).select("u", "m"), "u"))
 

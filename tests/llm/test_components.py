@@ -7,9 +7,10 @@ import pytest
 from palimp.llm import components
 
 
-@pytest.mark.parametrize("least", [3, 100])
-def test_components(spark, monkeypatch, least):
-    monkeypatch.setattr(components, "LEAST", least)
+@pytest.mark.parametrize("many,hot", [(5_000_000, 0.001), (0, 0.001), (0, 0.1)])
+def test_components(spark, monkeypatch, many, hot):
+    monkeypatch.setattr(components, "MANY", many)
+    monkeypatch.setattr(components, "HOT", hot)
     rng = random.Random(3)
     links = [(i, i + 1) for i in range(40)] + [(1000, 1001 + i) for i in range(400)] + [(5000 + i, 4999) for i in range(200)] + [(rng.randint(10_000, 10_300), rng.randint(10_000, 10_300)) for _ in range(200)] + [(7, 7), (None, 3), (1200, 5100)]
     lead = {}
