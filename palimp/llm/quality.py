@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .crf import Dense, forward_backward, train
 from .labelled import labelled_sample
+from .shared import give_back
 from .textkernel import chunks, string_buffers, tokenize
 
 #: Texts of each label to learn from, at most.
@@ -124,7 +125,9 @@ def fit_quality(sample: list[tuple[str, int]]) -> QualityModel:
 
 
 def learn_quality(docs: DataFrame, labels: DataFrame, train_on: Column, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
-    return fit_quality(labelled_sample(docs, labels, "quality", train_on, sample, id_col, text_col))
+    model = fit_quality(labelled_sample(docs, labels, "quality", train_on, sample, id_col, text_col))
+    give_back()
+    return model
 
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

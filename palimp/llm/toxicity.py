@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .crf import Hashed, _sigmoid, forward_backward, train
 from .labelled import labelled_sample, without_near_copies
+from .shared import give_back
 from .textkernel import SPACE_PUNCT, Tokens, U, chunks, mix, tokenize
 
 #: Texts of each label to learn from, at most; bits of a feature's hash; kinds of features, of which the last is no clue; likelihood ratio of a clue at least; largest number of times in a clue; how much less likely than one in all features chance must be (logarithm).
@@ -165,7 +166,9 @@ def fit_toxicity(sample: list[tuple[str, int]]) -> ToxicityModel:
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, train_on: Column, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
-    return fit_toxicity(labelled_sample(docs, labels, "toxic", train_on, sample, id_col, text_col))
+    model = fit_toxicity(labelled_sample(docs, labels, "toxic", train_on, sample, id_col, text_col))
+    give_back()
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
