@@ -135,7 +135,8 @@ def full_diff_stats(spark, d):
 @query(f"WITH RECURSIVE {_LISTS}, fk AS (SELECT pair_id * 100000 + line_no AS id, x, y FROM fc), {word_similarity_sql('fk', 'ws')} SELECT pair_id, line_no, round(0.7 * least(1.0, 0.55 * normalized + 0.25 * keyword + 0.15 * identifier + 0.05 * raw) + 0.3 * sim, 6) AS similarity FROM jc JOIN ws ON ws.id = pair_id * 100000 + line_no")
 def enhanced_similarity(spark, d):
     mixed = 0.7 * token_line_similarity("old_line", "new_line") + 0.3 * sim.word_similarity("old_line", "new_line")
-    return _facing(spark, d).select("pair_id", "line_no", F.round(mixed, 6).alias("similarity"))
+    # rounded as SQL does: of the product with 10^6, not of the decimal digits, which differ where a digit 5 is the last
+    return _facing(spark, d).select("pair_id", "line_no", (F.round(mixed * 1e6, 0) / 1e6).alias("similarity"))
 
 
 @query()

@@ -84,3 +84,14 @@ def test_file_type(spark):
 
 def test_trees():
     assert syntax.tree_similarity("x = 1", "y = 2") == 1.0 and syntax.tree_similarity("x =", "y") is None and syntax.tree_similarity("f(x)", "import os") < 1
+
+
+def test_mixed_similarity_at_a_half():
+    """A sum of weights one bit below that of sum(), which SQL has too: 0.7 of it and 0.3 of the words' similarity lie below a half of the sixth digit."""
+    from palimp.functions.edit import word_similarity_of
+    from palimp.functions.tokens import compare_tokens
+
+    a, b = "The bleennt eredtiwh esnden blest onoren thiningtion, shnding enou theden onndanha.", "Thheouble heenwh on reti ingeser erster that."
+    c = compare_tokens(a, b)
+    assert c["similarity"] == 0.55 * c["normalized"] + 0.25 * c["keyword"] + 0.15 * c["identifier"] + 0.05 * c["raw"]
+    assert 0.7 * c["similarity"] + 0.3 * word_similarity_of(a, b) < 0.2478125
