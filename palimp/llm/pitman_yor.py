@@ -16,7 +16,7 @@ the tables of children are the customers of the parent; the restaurants of words
 
 Scale. Counts cover all training texts. Word counts stay distributed; the driver sees bigram counts of dishes (DISHES squared at most), counts of counts, and the counts of the most frequent words (KNOWN at most), which the
 executors get as a broadcast. The restaurants of words are dealt out by their hash: each task gets its restaurants' customers from all texts, in packed form, samples them, and sends each text what its score changes by. The frequent pairs, of two dish
-words, are in the broadcast matrix, so none of these restaurants holds a large share of the tokens. Words beyond KNOWN share the mean probability of such words of their class with the unknown word.
+words, are in the broadcast matrix, so none of these restaurants holds a large share of the tokens. Counts of words beyond KNOWN are joined to the restaurants that such words occur in, so these too have the probability of their own count.
 """
 
 from __future__ import annotations
@@ -316,11 +316,73 @@ def _joined(data: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
+def _restaurants(before: np.ndarray, keys: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """The restaurant of a word after another: that of the other where it is a context of its own, else that of the other dish and the word's class."""
+    with np.errstate(over="ignore"):
+        return mix(before + np.where(context, U(0), (keys & U(255)) * U(0x9E3779B97F4A7C15) + U(1)))
+
+
+def _seats(r: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A key of a word, of which 48 bits count, in its restaurant."""
+    with np.errstate(over="ignore"):
+        return mix(r * U(0xD1342543DE82EF95) + (w & U((1 << 48) - 1)))
+
+
+def _tails(got):
+    """Words beyond the broadcast counts, with the restaurants that they occur in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v: Vocabulary = got.value
+        for batch in batches:
+            for part in chunks(batch):
+                keys, off = with_ends(tokenize(part.column(0)))
+                dish, _, known = v.find(keys)
+                before, word = np.empty_like(dish), np.empty_like(keys)
+                before[1:], word[1:] = dish[:-1], keys[:-1]
+                before[off[:-1]], word[off[:-1]] = 0, END
+                at = np.flatnonzero(~known & (keys != END))
+                if len(at):
+                    k, r = keys[at], _restaurants(word[at], keys[at], before[at] > v.own)
+                    at = np.unique(_seats(r, k), return_index=True)[1]
+                    yield pa.RecordBatch.from_arrays([as_long(k[at]), as_long(r[at])], names=["k", "r"])
+
+    return run
+
+
+def _pack_tails(parts: int):
+    """Counts of words in restaurants (k, r, c), packed for each part (kind 2)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            k, r, c = (np.concatenate([x[i] for x in held]) for i in range(3))
+            part = (r >> U(40)) % U(parts)
+            order = np.argsort(part, kind="stable")
+            seats, c = _seats(r, k)[order], c[order].astype(np.uint32)
+            cut = np.searchsorted(part[order], np.arange(parts + 1))
+            for i in np.flatnonzero(np.diff(cut)).tolist():
+                a, b = cut[i], cut[i + 1]
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([-1]), pa.array([2], pa.int8()), pa.array([_split(seats[a:b], c[a:b])], pa.binary())], schema=PACKED)
+
+        for b in batches:
+            if b.num_rows:
+                held.append([b.column(0).to_numpy().view(U), b.column(1).to_numpy().view(U), b.column(2).to_numpy()])
+                size += b.num_rows
+            if size >= PACK:
+                yield from out()
+                held, size = [], 0
+        if held:
+            yield from out()
+
+    return run
+
+
 def _pack(model, parts: int):
     """For each chunk of texts: their rows (kind 0), dealt out by the chunk; and for each part the customers of its restaurants (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, log_p, class_key, class_p, pool, n, kinds, ends = model.value
+        v, log_p, class_key, class_p, n, kinds, ends = model.value
         chunk = TaskContext.get().partitionId() << 24
         norm = np.log10(n + 0.5 * (kinds + 1))
         rows, held, size, texts = [], [], 0, 0
@@ -384,7 +446,7 @@ def _pack(model, parts: int):
                 at = np.minimum(np.searchsorted(class_key, k << 48 | binned(count[rare])), len(class_key) - 1)
                 if not ((class_key[at] == k << 48 | binned(count[rare])) | ~known[rare]).all():
                     raise ValueError("a count is missing among the counts of counts")
-                own[rare] = np.where(known[rare], class_p[at], pool[k])
+                own[rare] = np.where(known[rare], class_p[at], 0.0)  # of other words, whose count isn't known here, _seat adds it
                 base = np.where(known, np.log10(count + 0.5) - norm, 0.0)
                 first = off[:-1]
                 toff = np.r_[0, np.cumsum(~known)][off]
@@ -392,10 +454,11 @@ def _pack(model, parts: int):
                 rows.append(pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.diff(off)), pa.array(np.add.reduceat((known & (count > 0)).astype(np.int64), first)), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(of_dish + own, first)), tail], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "tail"]))
                 context = before > v.own  # a word that is no dish
                 deep = context | rare
-                with np.errstate(over="ignore"):
-                    r = mix(word[deep] + np.where(context[deep], U(0), (keys[deep] & U(255)) * U(0x9E3779B97F4A7C15) + U(1)))
+                r = _restaurants(word[deep], keys[deep], context[deep])
                 text = np.repeat(np.arange(texts, texts + part.num_rows), np.diff(off))[deep]
-                held.append([r, keys[deep], (np.where(context[deep], of_dish[deep], 0) + own[deep]).astype(np.float32), text.astype(np.uint16)])
+                p = (np.where(context[deep], of_dish[deep], 0) + own[deep]).astype(np.float32)
+                # the sign tells words whose own probability is missing
+                held.append([r, keys[deep], np.where(known[deep], np.copysign(p, np.float32(-1)), np.abs(p)), text.astype(np.uint16)])
                 size, texts = size + len(keys), texts + part.num_rows
                 if size >= PACK:
                     yield from out()
@@ -407,16 +470,18 @@ def _pack(model, parts: int):
     return run
 
 
-def _seat(key: tuple, t: pa.Table) -> pa.Table:
+def _seat(key: tuple, t: pa.Table, class_key: np.ndarray, class_p: np.ndarray) -> pa.Table:
     """Samples the restaurants of a part; for each chunk its rows, as they are, or what the scores of its texts change by."""
     chunk, kind, data = (t.column(c).to_pylist() for c in ("chunk", "kind", "data"))
     out = {"part": [], "chunk": [], "kind": [], "data": []}
-    pieces = []
+    pieces, tails = [], []
     for c, k, x in zip(chunk, kind, data, strict=True):
         if k == 0:
             pieces.append((c, None))
             for name, value in zip(out, (0, c, 0, x), strict=True):
                 out[name].append(value)
+        elif k == 2:
+            tails.append(_joined(x, U, np.uint32))
         else:
             restaurants, words, high, low, *rest = _joined(x, U, np.uint32, np.uint32, np.uint16, np.float32, np.uint16, np.uint16, np.uint32, np.uint8)
             pieces.append((c, (np.repeat(restaurants, words), high.astype(U) << U(16) | low, *rest)))
@@ -431,12 +496,24 @@ def _seat(key: tuple, t: pa.Table) -> pa.Table:
             who = np.repeat(np.arange(len(x[3])), x[3])
             c[at : at + len(x[0])] = np.bincount(who, x[5] * train, len(x[0]))
             at += len(x[0])
-        with np.errstate(over="ignore"):
-            _, first, place = np.unique(mix(r * U(0xD1342543DE82EF95) + w), return_index=True, return_inverse=True)
+        seats, first, place = np.unique(_seats(r, w), return_index=True, return_inverse=True)
         customers = np.bincount(place, c, len(first)).astype(np.int64)
         _, restaurant = np.unique(r[first], return_inverse=True)
-        parent = 10.0 ** p[first].astype(np.float64)
-        change = (np.log10(word_restaurants(restaurant, customers, parent, np.random.default_rng(key[0].as_py()))) - p[first])[place]
+        missing = ~np.signbit(p[first])
+        own = np.zeros(len(first))
+        if missing.any():
+            count = np.zeros(len(first), np.int64)
+            for seat, c in tails:
+                at = np.searchsorted(seats, seat)
+                fits = (at < len(seats)) & (seats[np.minimum(at, len(seats) - 1)] == seat)
+                count[at[fits]] = c[fits]
+            want = (w[first][missing] & U(255)).astype(np.int64) << 48 | binned(count[missing])
+            at = np.minimum(np.searchsorted(class_key, want), len(class_key) - 1)
+            if not (class_key[at] == want).all():
+                raise ValueError("a count is missing among the counts of counts")
+            own[missing] = class_p[at]
+        p = -np.abs(p[first].astype(np.float64))
+        change = (np.log10(word_restaurants(restaurant, customers, 10.0 ** (p + own), np.random.default_rng(key[0].as_py()))) - p)[place]
         at = 0
         for number, x in pieces:
             each = np.repeat(change[at : at + len(x[0])], x[3]) * x[5]
@@ -500,24 +577,21 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     del pairs, table
     rare = sorted((x["cls"], x["b"], x["words"]) for x in bins if x["low"] < dish_from)
     of_class = class_probabilities(*(np.array([x[i] for x in rare], np.int64) for i in range(3)))
-    pool = np.empty(CLASSES)
-    for k in range(CLASSES):
-        mass, words = 10.0 ** of_class[k, 0], 1
-        for cls, b, m in rare:
-            if cls == k and groups[b][0] < known_from:
-                mass, words = mass + m * 10.0 ** of_class[k, b], words + m
-        pool[k] = np.log10(mass / words)
     keys = sorted(of_class)
-    model = spark.sparkContext.broadcast((vocabulary, log_p, np.array([k << 48 | c for k, c in keys]), np.array([of_class[k] for k in keys]), pool, n, v, int(ends["c"]) if ends else 0))
+    class_key, class_p = np.array([k << 48 | c for k, c in keys]), np.array([of_class[k] for k in keys])
+    model = spark.sparkContext.broadcast((vocabulary, log_p, class_key, class_p, n, v, int(ends["c"]) if ends else 0))
     parts = max(24, n // PART)
     id_type = base.schema["doc_id"].dataType.simpleString()
     ddl = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double, tail array<long>, row long"
     packed = base.withColumn("held_out", held).mapInArrow(_pack(model, parts), DDL)
-    seated = packed.groupBy("part").applyInArrow(_seat, DDL)
+    rest = counts.where((F.col("c") < known_from) & (F.col("k") != 0))
+    if v > len(vocabulary.keys) + (ends is not None):
+        tails = base.select("text").mapInArrow(_tails(got), "k long, r long").join(rest, "k")
+        packed = packed.union(tails.select("k", "r", "c").mapInArrow(_pack_tails(parts), DDL))
+    seated = packed.groupBy("part").applyInArrow(lambda key, t: _seat(key, t, class_key, class_p), DDL)
     schema = to_arrow_schema(T._parse_datatype_string(ddl))
     scored = written(seated.groupBy("chunk").applyInArrow(_scores(schema), ddl), "scored")
 
-    rest = counts.where((F.col("c") < known_from) & (F.col("k") != 0))
     tail = scored.select("row", F.explode("tail").alias("k")).groupBy("row", "k").agg(F.count("*").alias("m")).join(rest, "k", "left").select("row", "m", F.coalesce("c", F.lit(0)).alias("c"))
     norm = float(np.log10(n + 0.5 * (v + 1)))
     tail = tail.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("known2"), F.sum(F.col("m") * (F.log10(F.col("c") + 0.5) - norm)).alias("base2"))

@@ -98,3 +98,17 @@ def test_many_texts_and_repeats(spark, monkeypatch):
     monkeypatch.setattr(py, "PACK", 2000)
     many = py.score_texts(rows, F.lit(False)).orderBy("doc_id").toPandas()
     assert np.allclose(one["score"], many["score"], rtol=1e-3) and (one["n_tokens"] == many["n_tokens"]).all() and one["n_tokens"][0] == 70_001
+
+
+def test_words_beyond_the_broadcast_have_their_own_probability(spark, monkeypatch):
+    """Scores with few broadcast counts are those with all of them: a word beyond has the probability of its own count, not the mean of such words."""
+    monkeypatch.setattr(py, "DISHES", py.CLASSES + 1 + 4)
+    rng = random.Random(9)
+    words = [f"w{i}xyz" for i in range(60)]  # one class
+    train = [" ".join(rng.choices(words, [1 / (i + 1) for i in range(60)], k=40)) for _ in range(30)]
+    texts = [w for w in words] + [f"{a} {b}" for a, b in zip(words, words[7:], strict=False)] + ["unheardxyz"]
+    whole = score(spark, train, texts)
+    monkeypatch.setattr(py, "KNOWN", 12)
+    cut = score(spark, train, texts)
+    assert np.allclose(whole["score"], cut["score"], atol=1e-4) and np.allclose(whole["base_score"], cut["base_score"]) and (whole["n_known"] == cut["n_known"]).all()
+    assert len({round(x, 2) for x in cut["score"][:60]}) > 5
