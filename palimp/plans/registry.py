@@ -16,7 +16,7 @@ from palimp.functions import signature as sig
 from palimp.functions import similarity as sim
 from palimp.functions import text as txt
 from palimp.functions.edit import char_diff, word_diff
-from palimp.functions.tokens import tokens
+from palimp.functions.tokens import tokens_of_texts
 from palimp.operators import align, export, late_moves, lsh, matching, sliders
 from palimp.plans import compare as cmp
 from palimp.sources import pairs as src
@@ -439,7 +439,7 @@ def word_diff_reconstructs(spark, d):
 
 @query("SELECT doc_id, text FROM documents")
 def tokens_reconstruct(spark, d):
-    return _docs(spark, d).select("doc_id", F.array_join(tokens("text")["value"], "").alias("text"))
+    return tokens_of_texts(_docs(spark, d), "doc_id", "text").select("doc_id", F.array_join(F.col("tokens.value"), "").alias("text"))
 
 
 # language and file type

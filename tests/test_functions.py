@@ -95,3 +95,15 @@ def test_mixed_similarity_at_a_half():
     c = compare_tokens(a, b)
     assert c["similarity"] == 0.55 * c["normalized"] + 0.25 * c["keyword"] + 0.15 * c["identifier"] + 0.05 * c["raw"]
     assert 0.7 * c["similarity"] + 0.3 * word_similarity_of(a, b) < 0.2478125
+
+
+def test_tokens_of_texts_in_pieces(spark, monkeypatch):
+    """Texts whose tokens are many are handed back in pieces, with the tokens that one piece gives; null stays null."""
+    from palimp.functions import tokens as tok
+
+    monkeypatch.setattr(tok, "HELD", 50)
+    texts = ["x = 1; y" * n for n in range(20)] + [None, "", "a" * 500]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    pieces = tok.tokens_of_texts(rows, "doc_id", "text")
+    got = {r["doc_id"]: r["tokens"] for r in pieces.collect()}
+    assert all((got[i] is None) if t is None else [tuple(x) for x in got[i]] == tok.tokenize_line(t, True) for i, t in enumerate(texts))
