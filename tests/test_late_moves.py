@@ -125,3 +125,59 @@ def test_moves_by_lines_not_by_combinations(spark):
     for least in (0.5, 0.9):
         assert shown(similar_moves(rest, least)) == greedy(((-r.s, r.old_no, r.new_no), r.pair_id, r.old_no, r.new_no, r.s) for r in all_ if r.s >= least and r.u and r.v)
     assert shown(similar_moves(rest, 0.5, True)) == greedy(((-r.s, r.old_no, r.new_no), r.pair_id, r.old_no, r.new_no, r.s) for r in all_ if r.s >= 0.5 and r.u and r.v and r.ba != r.bb)
+
+
+def odd_texts():
+    rng = random.Random(13)
+    words = ["alpha beta gamma", "delta epsilon", "  zeta eta theta ", "", " \t", "short", "one more line of text", "ends in VT\x0b", "123456789\x0b", "123456789 ", "trail   ", " nine char", "a b c d e\r", "ÄÖ 😀 ü line"]
+    return ["\n".join(rng.choice(words) + rng.choice(["", "", " x"]) for _ in range(rng.randrange(1, 60))) for _ in range(60)] + ["same line of text\n" * 300, "\n" * 30, "123456789\x0b\n" * 12, "".join(f"line number {i}\n" for i in range(250)), None, ""]
+
+
+def test_stats_of_pairs_are_those_of_tables(spark):
+    from pyspark.sql import functions as F
+
+    from palimp.plans.compare import classify_fast, stats
+    from palimp.plans.registry import positional
+
+    texts = odd_texts()
+    rng = random.Random(4)
+    rows = [(k, t, t if k % 9 == 0 else rng.choice(texts) if k % 2 or t is None else "\n".join(sorted(t.split("\n"), key=lambda x: rng.random())[: rng.randrange(1, 80)])) for k, t in enumerate(texts)]
+    p = spark.createDataFrame(rows, "pair_id long, old_text string, new_text string")
+    got = late_moves.positional_stats(p)
+    old, new = (lines(spark, [(r[0], r[c] or "") for r in rows]) for c in (1, 2))
+    want = stats(late_moves.apply_moves(classify_fast(positional(old, new)), late_moves.as_ranges(late_moves.content_moves(old, new))))
+    assert got.columns == want.columns and got.select(*(F.col(c) for c in want.columns)).dtypes == want.dtypes
+    a, b = (sorted(tuple(r) for r in x.collect()) for x in (got, want))
+    assert a == b and len(a) == len(rows) and sum(r[5] for r in a) > 50
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "Window" not in plan
+    assert late_moves.positional_stats(p.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("ids", ["keys", "repeated and missing"])
+def test_late_moves_of_odd_texts_and_sql(spark, tmp_path, ids):
+    """Lines with white space that SQL doesn't trim, and document numbers that repeat or are null, against the SQL; documents of one number have equal lines, as the SQL leaves the order of others open."""
+    import duckdb
+
+    from palimp.plans.catalog import ORACLES, QUERIES
+
+    rows = list(enumerate(odd_texts()))
+    if ids != "keys":
+        rows = [(None if k % 5 == 1 else k, t) for k, t in rows] + [(900, "same line of text\n" * 40), (900, "same line of text\n" * 40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("content_moves", "late_move_stats"):
+        got, want = QUERIES[name](spark, str(tmp_path)), con.sql(ORACLES[name])
+        order = [want.columns.index(c) for c in got.columns]
+        key = lambda r: [(v is None, v or 0) for v in r]
+        assert sorted((tuple(r) for r in got.collect()), key=key) == sorted((tuple(r[i] for i in order) for r in want.fetchall()), key=key), name
+
+
+def test_late_move_stats_makes_no_windows_of_tables(spark):
+    from palimp.plans.catalog import QUERIES
+
+    plan = QUERIES["late_move_stats"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan and "Generate" not in plan
+    windows = QUERIES["content_moves"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "sequence(1, size(" not in windows
