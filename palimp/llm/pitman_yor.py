@@ -15,7 +15,7 @@ weights (drawn from their Dirichlet posterior), the numbers of tables t of the d
 the tables of children are the customers of the parent; the restaurants of words are sampled given the averaged probabilities of their parents. Predictive probabilities are averaged over the sweeps after the burn-in.
 
 Scale. Counts cover all training texts. Word counts stay distributed; the driver sees bigram counts of dishes (DISHES squared at most), counts of counts, and the counts of the most frequent words (KNOWN at most), which the
-executors get as a broadcast. The restaurants of words are dealt out by their hash: each task gets its restaurants' customers from all texts, in packed form, samples them, and sends each text what its score changes by. The frequent pairs, of two dish
+executors get as a broadcast. The restaurants of words are dealt out by their hash: each task gets its restaurants' customers from all texts, in packed form (words by number, without probabilities, which follow from the broadcasts), samples them, and sends each text what its score changes by. The frequent pairs, of two dish
 words, are in the broadcast matrix, so none of these restaurants holds a large share of the tokens. Counts of words beyond KNOWN are joined to the restaurants that such words occur in, so these too have the probability of their own count.
 """
 
@@ -95,27 +95,29 @@ def _count_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Vocabulary:
-    """The most frequent words: sorted keys, counts and dish (0 if a word has none of its own)."""
+    """The n most frequent words: sorted keys, counts and dish (0 if a word has none of its own). A word's number is its place; the end has n, any other word n + 1."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, least: int):
         order = np.argsort(keys)
-        self.keys, self.counts = keys[order], counts[order]
-        own = (self.counts >= least) & (self.keys != END)
-        self.dish = np.zeros(len(keys), np.int16)
-        self.dish[own] = np.arange(1, own.sum() + 1)
-        self.own = int(own.sum())
+        self.n = len(keys)
+        self.keys, self.counts = np.r_[keys[order], U(END), U(END)], np.r_[counts[order], 0, 0]
+        own = np.flatnonzero((self.counts[: self.n] >= least) & (self.keys[: self.n] != END))
+        self.dish = np.zeros(self.n + 2, np.int16)
+        self.dish[own] = np.arange(1, len(own) + 1)
+        self.own = len(own)
         self.dishes = 1 + self.own + CLASSES
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def numbers(self, keys: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.keys[: self.n], keys)
+        return np.where(keys == END, self.n, np.where((self.keys[at] == keys) & (at < self.n), at, self.n + 1)).astype(np.uint32)
+
+    def find(self, keys: np.ndarray, numbers: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Dish of each token, its count, and if the count is known here."""
-        if not len(self.keys):
-            return np.where(keys == END, 0, 1 + (keys & U(255)).astype(np.int64)), np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        known = self.keys[at] == keys
-        dish = np.where(known, self.dish[at], 0).astype(np.int64)
+        numbers = self.numbers(keys) if numbers is None else numbers
+        dish = self.dish[numbers].astype(np.int64)
         rare = (dish == 0) & (keys != END)
         dish[rare] = 1 + self.own + (keys[rare] & U(255)).astype(np.int64)
-        return dish, np.where(known, self.counts[at], 0), known
+        return dish, self.counts[numbers], numbers < self.n
 
 
 def _count_pairs(got):
@@ -284,6 +286,7 @@ def word_restaurants(r: np.ndarray, c: np.ndarray, p: np.ndarray, rng: np.random
 
 PACKED = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int8()), ("data", pa.binary())])
 DDL = "part int, chunk long, kind tinyint, data binary"
+ZSTD = pa.Codec("zstd", 1)
 
 
 def _expand(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -304,14 +307,17 @@ def _from_ipc(data: bytes) -> pa.Table:
 
 
 def _split(*arrays: np.ndarray) -> bytes:
-    """Arrays one after the other, with their sizes in bytes ahead."""
-    return np.array([x.nbytes for x in arrays], np.uint32).tobytes() + b"".join(x.tobytes() for x in arrays)
+    """Arrays one after the other, with their sizes in bytes ahead: of each the first bytes of its numbers, then their second ones and so on, compressed."""
+    data = b"".join(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in arrays)
+    return np.array([x.nbytes for x in arrays], np.uint32).tobytes() + ZSTD.compress(data, asbytes=True)
 
 
 def _joined(data: bytes, *kinds) -> list[np.ndarray]:
-    at, out = 4 * len(kinds), []
-    for size, kind in zip(np.frombuffer(data, np.uint32, len(kinds)).tolist(), kinds, strict=True):
-        out.append(np.frombuffer(data[at : at + size], kind))
+    at, out = 0, []
+    sizes = np.frombuffer(data, np.uint32, len(kinds)).tolist()
+    data = np.frombuffer(ZSTD.decompress(data[4 * len(kinds) :], sum(sizes)), np.uint8)
+    for size, kind in zip(sizes, kinds, strict=True):
+        out.append(data[at : at + size].reshape(np.dtype(kind).itemsize, -1).T.reshape(-1).view(kind))
         at += size
     return out
 
@@ -328,6 +334,15 @@ def _seats(r: np.ndarray, w: np.ndarray) -> np.ndarray:
         return mix(r * U(0xD1342543DE82EF95) + (w & U((1 << 48) - 1)))
 
 
+def _of_class(keys: np.ndarray, count: np.ndarray, class_key: np.ndarray, class_p: np.ndarray) -> np.ndarray:
+    """log10 probability of each word in the restaurant of its class."""
+    want = (keys & U(255)).astype(np.int64) << 48 | binned(count)
+    at = np.minimum(np.searchsorted(class_key, want), len(class_key) - 1)
+    if not (class_key[at] == want).all():
+        raise ValueError("a count is missing among the counts of counts")
+    return class_p[at]
+
+
 def _tails(got):
     """Words beyond the broadcast counts, with the restaurants that they occur in."""
 
@@ -389,12 +404,18 @@ def _pack(model, parts: int):
 
         def out() -> Iterator[pa.RecordBatch]:
             docs = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+            # training texts first: their number tells them apart
+            held_out = np.array(docs.column(1).to_numpy(zero_copy_only=False), bool)
+            order = np.argsort(held_out, kind="stable")
+            docs, place = docs.take(pa.array(order)), np.empty(len(order), np.uint16)
+            place[order] = np.arange(len(order))
+            train = np.array([len(order) - held_out.sum()], np.uint32)
             yield pa.RecordBatch.from_arrays([pa.array([chunk % parts], pa.int32()), pa.array([chunk]), pa.array([0], pa.int8()), pa.array([_ipc(docs)], pa.binary())], schema=PACKED)
-            r, w, p, d = (np.concatenate([x.pop(0) for x in held]) for _ in range(4))
+            r, w, b, numbers, d = (np.concatenate([x.pop(0) for x in held]) for _ in range(5))
             held.clear()
             if not len(r):
                 return
-            train = ~np.array(docs.column(1).to_numpy(zero_copy_only=False), bool)
+            d = place[d]
             with np.errstate(over="ignore"):
                 h = mix(r * U(0xD1342543DE82EF95) + w)
             # by restaurant and word, then text: equal ones once, with their number
@@ -422,8 +443,8 @@ def _pack(model, parts: int):
                 take = _expand(start[u], m)
                 f = first[u]
                 lead = np.flatnonzero(np.r_[True, r[f[1:]] != r[f[:-1]]])
-                # restaurants once with their numbers of words; 48 bits of a word tell it apart in its restaurant
-                data = _split(r[f[lead]], np.diff(np.r_[lead, len(f)]).astype(np.uint32), (w[f] >> U(16)).astype(np.uint32), w[f].astype(np.uint16), p[f], m.astype(np.uint16), text[take], times[take].astype(np.uint32), np.packbits(train))
+                # restaurants once, as what each adds to the one before, with their numbers of words; words by number, the others by key. The probabilities of the parents follow from these
+                data = _split(np.diff(r[f[lead]], prepend=U(0)), np.diff(np.r_[lead, len(f)]).astype(np.uint32), b[f[lead]], numbers[f], w[f[numbers[f] > v.n]], m.astype(np.uint16), text[take], times[take].astype(np.uint32), train)
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([chunk]), pa.array([1], pa.int8()), pa.array([data], pa.binary())], schema=PACKED)
 
         for batch in batches:
@@ -433,7 +454,8 @@ def _pack(model, parts: int):
                     chunk += 1
                     rows, held, size, texts = [], [], 0, 0
                 keys, off = with_ends(tokenize(part.column(1)))
-                dish, count, known = v.find(keys)
+                numbers = v.numbers(keys)
+                dish, count, known = v.find(keys, numbers)
                 end = keys == END
                 count[end], known = ends, known | end
                 before, word = np.empty_like(dish), np.empty_like(keys)
@@ -442,11 +464,8 @@ def _pack(model, parts: int):
                 of_dish = log_p[before, dish].astype(np.float64)
                 rare = dish > v.own
                 own = np.zeros(len(dish))
-                k = (keys[rare] & U(255)).astype(np.int64)
-                at = np.minimum(np.searchsorted(class_key, k << 48 | binned(count[rare])), len(class_key) - 1)
-                if not ((class_key[at] == k << 48 | binned(count[rare])) | ~known[rare]).all():
-                    raise ValueError("a count is missing among the counts of counts")
-                own[rare] = np.where(known[rare], class_p[at], 0.0)  # of other words, whose count isn't known here, _seat adds it
+                at = np.flatnonzero(rare & known)  # of other words, whose count isn't known here, _seat adds it
+                own[at] = _of_class(keys[at], count[at], class_key, class_p)
                 base = np.where(known, np.log10(count + 0.5) - norm, 0.0)
                 first = off[:-1]
                 toff = np.r_[0, np.cumsum(~known)][off]
@@ -456,9 +475,7 @@ def _pack(model, parts: int):
                 deep = context | rare
                 r = _restaurants(word[deep], keys[deep], context[deep])
                 text = np.repeat(np.arange(texts, texts + part.num_rows), np.diff(off))[deep]
-                p = (np.where(context[deep], of_dish[deep], 0) + own[deep]).astype(np.float32)
-                # the sign tells words whose own probability is missing
-                held.append([r, keys[deep], np.where(known[deep], np.copysign(p, np.float32(-1)), np.abs(p)), text.astype(np.uint16)])
+                held.append([r, keys[deep], np.where(context[deep], before[deep] - v.own, 0).astype(np.uint16), numbers[deep], text.astype(np.uint16)])
                 size, texts = size + len(keys), texts + part.num_rows
                 if size >= PACK:
                     yield from out()
@@ -470,8 +487,9 @@ def _pack(model, parts: int):
     return run
 
 
-def _seat(key: tuple, t: pa.Table, class_key: np.ndarray, class_p: np.ndarray) -> pa.Table:
+def _seat(key: tuple, t: pa.Table, model: tuple) -> pa.Table:
     """Samples the restaurants of a part; for each chunk its rows, as they are, or what the scores of its texts change by."""
+    v, log_p, class_key, class_p, *_ = model
     chunk, kind, data = (t.column(c).to_pylist() for c in ("chunk", "kind", "data"))
     out = {"part": [], "chunk": [], "kind": [], "data": []}
     pieces, tails = [], []
@@ -483,23 +501,29 @@ def _seat(key: tuple, t: pa.Table, class_key: np.ndarray, class_p: np.ndarray) -
         elif k == 2:
             tails.append(_joined(x, U, np.uint32))
         else:
-            restaurants, words, high, low, *rest = _joined(x, U, np.uint32, np.uint32, np.uint16, np.float32, np.uint16, np.uint16, np.uint32, np.uint8)
-            pieces.append((c, (np.repeat(restaurants, words), high.astype(U) << U(16) | low, *rest)))
+            restaurants, words, before, numbers, others, *rest = _joined(x, U, np.uint32, np.uint16, np.uint32, U, np.uint16, np.uint16, np.uint32, np.uint32)
+            w = v.keys[numbers]
+            w[numbers > v.n] = others
+            pieces.append((c, (np.repeat(np.cumsum(restaurants), words), w, np.repeat(before, words), *rest)))
     pieces = sorted((x for x in pieces if x[1]), key=lambda x: x[0])
     del data, t
     if pieces:
-        r, w, p = (np.concatenate([x[i] for _, x in pieces]) for i in range(3))
+        r, w, before = (np.concatenate([x[i] for _, x in pieces]) for i in range(3))
         c = np.zeros(len(r))
         at = 0
         for _, x in pieces:
-            train = np.unpackbits(x[6])[x[4]].astype(bool)
             who = np.repeat(np.arange(len(x[3])), x[3])
-            c[at : at + len(x[0])] = np.bincount(who, x[5] * train, len(x[0]))
+            c[at : at + len(x[0])] = np.bincount(who, x[5] * (x[4] < x[6]), len(x[0]))
             at += len(x[0])
         seats, first, place = np.unique(_seats(r, w), return_index=True, return_inverse=True)
         customers = np.bincount(place, c, len(first)).astype(np.int64)
         _, restaurant = np.unique(r[first], return_inverse=True)
-        missing = ~np.signbit(p[first])
+        w, before = w[first], before[first]
+        dish, count, known = v.find(w)
+        missing = ~known & (w != END)
+        p, at = np.where(before > 0, log_p[v.own + before.astype(np.int64), dish], np.float32(0)), np.flatnonzero(known & (dish > v.own))
+        p[at] += _of_class(w[at], count[at], class_key, class_p)
+        p = p.astype(np.float64)
         own = np.zeros(len(first))
         if missing.any():
             count = np.zeros(len(first), np.int64)
@@ -507,19 +531,14 @@ def _seat(key: tuple, t: pa.Table, class_key: np.ndarray, class_p: np.ndarray) -
                 at = np.searchsorted(seats, seat)
                 fits = (at < len(seats)) & (seats[np.minimum(at, len(seats) - 1)] == seat)
                 count[at[fits]] = c[fits]
-            want = (w[first][missing] & U(255)).astype(np.int64) << 48 | binned(count[missing])
-            at = np.minimum(np.searchsorted(class_key, want), len(class_key) - 1)
-            if not (class_key[at] == want).all():
-                raise ValueError("a count is missing among the counts of counts")
-            own[missing] = class_p[at]
-        p = -np.abs(p[first].astype(np.float64))
+            own[missing] = _of_class(w[missing], count[missing], class_key, class_p)
         change = (np.log10(word_restaurants(restaurant, customers, 10.0 ** (p + own), np.random.default_rng(key[0].as_py()))) - p)[place]
         at = 0
         for number, x in pieces:
             each = np.repeat(change[at : at + len(x[0])], x[3]) * x[5]
             at += len(x[0])
             texts = np.unique(x[4])
-            for name, value in zip(out, (0, number, 1, _split(texts, np.bincount(x[4], each)[texts].astype(np.float32))), strict=True):
+            for name, value in zip(out, (0, number, 1, _split(np.diff(texts, prepend=np.uint16(0)), np.bincount(x[4], each)[texts].astype(np.float32))), strict=True):
                 out[name].append(value)
     return pa.table(out, schema=PACKED)
 
@@ -532,7 +551,7 @@ def _scores(schema: pa.Schema):
         score = docs.column("score").to_numpy().copy()
         for x in sorted(x for k, x in zip(kind, data, strict=True) if k):
             texts, change = _joined(x, np.uint16, np.float32)
-            score[texts] += change
+            score[np.cumsum(texts)] += change
         return docs.set_column(docs.schema.get_field_index("score"), "score", pa.array(score)).append_column("row", pa.array((t.column("chunk")[0].as_py() << 17) + np.arange(docs.num_rows))).cast(schema)
 
     return run
@@ -585,10 +604,10 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     ddl = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double, tail array<long>, row long"
     packed = base.withColumn("held_out", held).mapInArrow(_pack(model, parts), DDL)
     rest = counts.where((F.col("c") < known_from) & (F.col("k") != 0))
-    if v > len(vocabulary.keys) + (ends is not None):
+    if v > vocabulary.n + (ends is not None):
         tails = base.select("text").mapInArrow(_tails(got), "k long, r long").join(rest, "k")
         packed = packed.union(tails.select("k", "r", "c").mapInArrow(_pack_tails(parts), DDL))
-    seated = packed.groupBy("part").applyInArrow(lambda key, t: _seat(key, t, class_key, class_p), DDL)
+    seated = packed.groupBy("part").applyInArrow(lambda key, t: _seat(key, t, model.value), DDL)
     schema = to_arrow_schema(T._parse_datatype_string(ddl))
     scored = written(seated.groupBy("chunk").applyInArrow(_scores(schema), ddl), "scored")
 

@@ -112,3 +112,26 @@ def test_words_beyond_the_broadcast_have_their_own_probability(spark, monkeypatc
     cut = score(spark, train, texts)
     assert np.allclose(whole["score"], cut["score"], atol=1e-4) and np.allclose(whole["base_score"], cut["base_score"]) and (whole["n_known"] == cut["n_known"]).all()
     assert len({round(x, 2) for x in cut["score"][:60]}) > 5
+
+
+def test_pieces_are_compact(monkeypatch):
+    """What goes through the shuffle to the restaurants, compressed as Spark does, has less than 8 bytes for each token that is a rare word or comes after one."""
+
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(py, "TaskContext", Task)
+    rng = np.random.default_rng(5)
+    texts = pa.array([" ".join(f"w{x}" for x in (60_000 * rng.random(300) ** 3).astype(int)) for _ in range(600)])
+    keys, count = np.unique(py.word_keys(tokenize(texts)), return_counts=True)
+    v = py.Vocabulary(keys[count > 1], count[count > 1], int(np.sort(count)[-200]))
+    class_key = np.unique((keys & np.uint64(255)).astype(np.int64) << 48 | py.binned(count))
+    log_p = np.log10(rng.dirichlet(np.ones(v.dishes), v.dishes)).astype(np.float32)
+    model = type("Model", (), {"value": (v, log_p, class_key, np.log10(rng.random(len(class_key))), int(count.sum()), len(keys), 600)})
+    rows = pa.RecordBatch.from_arrays([pa.array(range(600)), texts, pa.array([i % 5 == 1 for i in range(600)])], names=["doc_id", "text", "held_out"])
+    pieces = [b.column(3)[0].as_py() for b in py._pack(model, 4)(iter([rows])) if b.column(2)[0].as_py() == 1]
+    h, off = py.with_ends(tokenize(texts))
+    rare = v.find(h)[0] > v.own
+    deep = rare | np.r_[False, rare[:-1]] & ~np.isin(np.arange(len(h)), off[:-1])
+    assert len(pieces) == 4 and sum(len(pa.compress(x, "lz4_raw", asbytes=True)) for x in pieces) < 8 * deep.sum()
